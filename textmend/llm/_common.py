@@ -64,10 +64,10 @@ def record(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, f.type) for f in schema], schema=schema)
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
+def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(T._parse_datatype_string(ddl))
+    return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
 def shards(df: DataFrame, rows: int, least: int = 1) -> list[int]:

@@ -33,4 +33,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), BYTE_BPE, end_id=0, with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op5_repetition, op8_packing)}
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_counts
+
+    return token_counts.section_counts(_documents(spark, sf_dir), BYTE_BPE)
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chunk_fingerprint
+
+    return chunk_fingerprint.edit_probe(_documents(spark, sf_dir))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring_dedup
+
+    return substring_dedup.repeats(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op5_repetition, op6_token_counts, op8_packing, op9_fingerprint, op10_substring_dedup)}
