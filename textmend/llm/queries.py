@@ -33,6 +33,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), BYTE_BPE, end_id=0, with_ids=False)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+
+    docs = _documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.learn(docs))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.similar(_documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_counts
 
@@ -51,4 +64,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op5_repetition, op6_token_counts, op8_packing, op9_fingerprint, op10_substring_dedup)}
+_ALL = (op1_token_store, op3_language_id, op4_jaccard_join, op5_repetition, op6_token_counts, op8_packing, op9_fingerprint, op10_substring_dedup)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
