@@ -158,7 +158,7 @@ def _resolved(docs: DataFrame, keep_rows: bool, fn, schema: str, window: int) ->
         v, c = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         out = _chunks.value_blobs(file, v, c, parts, 64)
         # what the file's last task needs besides the counts goes to it directly
-        yield {k: list(out[k]) + [e] for k, e in (("part", parts), ("file", file), ("data", _chunks.pack(bits=bits, v=_chunks.deltas(v))))}
+        yield {k: list(out[k]) + [e] for k, e in (("part", parts + (file >> 12) % parts), ("file", file), ("data", _chunks.pack(bits=bits, v=_chunks.deltas(v))))}
 
     schema_blob = _chunks.BLOB
     seen = _chunks.tally(_chunks.by_file(manifest, files, None, anchors, schema_blob), parts)
@@ -180,12 +180,12 @@ def _resolved(docs: DataFrame, keep_rows: bool, fn, schema: str, window: int) ->
 
 
 def _tally_and_pass(blobs: DataFrame, parts: int) -> DataFrame:
-    """As ``_chunks.tally``, and the blobs of the part beyond the last as they are: one shuffle for both."""
+    """As ``_chunks.tally``, and the blobs of as many parts beyond them as they are: one shuffle for both."""
 
     def fn(part: int, files: list[int], data: list[dict]) -> Iterator[dict]:
-        return _pass(part, files, data) if part == parts else _chunks.counted(part, files, data)
+        return _pass(parts, files, data) if part >= parts else _chunks.counted(part, files, data)
 
-    return _chunks.by_part(blobs, parts + 1, fn, _chunks.INFO)
+    return _chunks.by_part(blobs, 2 * parts, fn, _chunks.INFO)
 
 
 def _pass(part: int, files: list[int], data: list[dict]) -> Iterator[dict]:
