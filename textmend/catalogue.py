@@ -1,10 +1,327 @@
-"""Registered queries over the driver's tables and the SQL that checks them."""
+"""Registered queries over the driver's tables and the SQL that checks them.
+
+Every query reads a whole table; Arabic and damaged texts are derived from it by ``translate``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import tables as T
+from .functions import text as X
+from .operators import derive as D
+from .operators import layout, metrics, vocabulary
+from .plans import repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+_AR = f"ar AS (SELECT doc_id, lang, translate(lower(coalesce(text, '')), '{D.LATIN}', '{D.LETTERS}') AS t FROM documents)"
+_PF = f"translate(t, '{''.join(T.ISOLATED)}', '{''.join(T.ISOLATED.values())}')"
+_NOISE = f"'{T.ZERO_WIDTH[0]}' || translate(t, ' ,.', '{T.NBSP}{T.THOUSANDS}{T.SOFT_HYPHEN}')"
+_LA, _AL = T.LAM + "ا", "ا" + T.LAM
+_WORDS = "regexp_extract_all(t, '[ء-ۓ]{3,}')"
+_TOKENS = f"regexp_extract_all(t, '[{T.ARABIC}]+')"
+
+
+def _query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def _ar(spark: SparkSession, d: str) -> DataFrame:
+    return D.arabic(_docs(spark, d).select("doc_id", "lang", "text")).drop("text")
+
+
+def _n(column: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({column}, '{pattern}'))"
+
+
+# text rewrites
+
+
+@_query(f"WITH {_AR} SELECT doc_id, t AS out FROM ar")
+def fold_simple_forms(spark, d):
+    return _ar(spark, d).select("doc_id", X.fold_simple(D.with_forms(F.col("t"))).alias("out"))
+
+
+@_query(f"WITH {_AR} SELECT doc_id, t AS out, length(replace(t, '{_LA}', '.')) AS n_before FROM ar")
+def expand_ligatures(spark, d):
+    broken = D.with_ligatures(F.col("t"))
+    return _ar(spark, d).select("doc_id", X.expand_deferred(broken).alias("out"), F.length(broken).cast("long").alias("n_before"))
+
+
+@_query(f"WITH {_AR}, x AS (SELECT doc_id, translate(t, '.,', '-{T.THOUSANDS}') AS t FROM ar), m AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([{T.DIGITS}]){T.THOUSANDS}([{T.DIGITS}])', '\\1\x01\\2', 'g'), '([{T.DIGITS}]){T.THOUSANDS}([{T.DIGITS}])', '\\1\x01\\2', 'g') AS t FROM x) SELECT doc_id, replace(replace(t, '{T.THOUSANDS}', '{T.COMMA}'), '\x01', '{T.THOUSANDS}') AS out FROM m")
+def sanitize(spark, d):
+    return _ar(spark, d).select("doc_id", X.sanitize(D.with_noise(F.col("t"))).alias("out"))
+
+
+@_query(f"WITH {_AR} SELECT doc_id, t AS out FROM ar")
+def fold_homoglyphs(spark, d):
+    return _ar(spark, d).select("doc_id", X.fold_homoglyphs(D.with_homoglyphs(F.col("t"))).alias("out"))
+
+
+@_query(f"WITH {_AR} SELECT doc_id, translate(t, 'آأإةى', 'اااهي') AS out FROM ar")
+def unify_letters(spark, d):
+    return _ar(spark, d).select("doc_id", X.unify(F.col("t"), taa=True, maqsura=True).alias("out"))
+
+
+@_query(f"SELECT doc_id, translate(coalesce(text, ''), '{''.join(T.MIRROR)}', '{''.join(T.MIRROR.values())}') AS out FROM documents")
+def mirror_brackets(spark, d):
+    return _docs(spark, d).select("doc_id", X.mirror(F.coalesce("text", F.lit(""))).alias("out"))
+
+
+@_query(f"WITH {_AR}, x AS (SELECT doc_id, regexp_replace(t, '[^ء-ي \\n]', '', 'g') AS t FROM ar) SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda l: reverse(l)), chr(10)) AS out FROM x")
+def reverse_lines(spark, d):
+    return _ar(spark, d).select("doc_id", X.fix_order(F.regexp_replace("t", "[^ء-ي \\n]", "")).alias("out"))
+
+
+@_query(f"WITH {_AR}, x AS (SELECT doc_id, replace(t, ' ', 'آ') AS t FROM ar) SELECT doc_id, " + "regexp_replace(" * 8 + "t" + f", '([{T.ALEFS}])([{T.ALEFS}])({T.LAM})', '\\1\\3\\2', 'g')" * 8 + " AS out FROM x")
+def repair_lam_alef(spark, d):
+    return _ar(spark, d).select("doc_id", X.repair_lam_alef(F.replace("t", F.lit(" "), F.lit("آ"))).alias("out"))
+
+
+@_query(f"WITH {_AR}, x AS (SELECT doc_id, translate(t, ',;?', '،؛؟') AS t FROM ar), y AS (SELECT doc_id, regexp_replace(t, '([ء-ي]) +([،؛؟])', '\\1\\2', 'g') AS t FROM x) SELECT doc_id, regexp_replace(t, '([،؛؟])([ء-ي])', '\\1 \\2', 'g') AS out FROM y")
+def punctuation_spacing(spark, d):
+    return _ar(spark, d).select("doc_id", X.punctuation_spacing(F.translate("t", ",;?", "،؛؟")).alias("out"))
+
+
+@_query("SELECT doc_id, coalesce(text, '') AS out FROM documents WHERE regexp_matches(coalesce(text, ''), '[\x80-ÿ]') AND NOT regexp_matches(text, '[^\\x00-ÿ]')")
+def recover_mojibake(spark, d):
+    """Texts of Latin-1 read as UTF-8 bytes, one character a byte, and recovered."""
+    text = F.coalesce("text", F.lit(""))
+    wrong = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    own = _docs(spark, d).where(text.rlike("[\\u0080-\\u00ff]") & ~text.rlike("[^\\x00-\\u00ff]"))
+    return own.select("doc_id", X.recover_utf8(wrong).alias("out"))
+
+
+# detectors
+
+
+@_query(f"WITH {_AR}, x AS (SELECT doc_id, {_PF} || 'ـ' || chr(57344) AS t FROM ar), n AS (SELECT doc_id, {_n('t', f'[{T.ARABIC}]')} AS a, {_n('t', f'[{T.FORMS}]')} AS f, t FROM x) SELECT doc_id, round(f / (a + f), 9) AS pf_ratio, round(1 / length(t), 9) AS pua_ratio, round(1 / length(t), 9) AS tatweel_ratio FROM n")
+def damage_ratios(spark, d):
+    damaged = F.concat(D.with_forms(F.col("t")), F.lit(T.TATWEEL + "\ue000"))
+    return _ar(spark, d).select("doc_id", damaged.alias("t")).select("doc_id", *(F.round(v, 9).alias(k) for k, v in X.ratios(F.col("t")).items()))
+
+
+@_query(f"WITH {_AR}, x AS (SELECT doc_id, {_NOISE} AS t FROM ar) SELECT doc_id, {_n('t', f'[{T.SPACES}]')} AS nbsp_like, {_n('t', T.SOFT_HYPHEN)} AS soft_hyphen, 0::BIGINT AS replacement, 0::BIGINT AS spacing_diacritic_pf, {_n('t', f'[{T.ZERO_WIDTH}]')} AS zero_width FROM x")
+def artifact_counts(spark, d):
+    found = X.artifacts(F.col("t"))
+    return _ar(spark, d).select("doc_id", D.with_noise(F.col("t")).alias("t")).select("doc_id", *(found[k].alias(k) for k in ("nbsp_like", "soft_hyphen", "replacement", "spacing_diacritic_pf", "zero_width")))
+
+
+def _signal(least: int, a: str, b: str) -> str:
+    own = f"list_filter(w, lambda x: length(x) >= {least})"
+    return f"len(list_filter({own}, lambda x: regexp_matches(x, '{a}'))) AS x, len(list_filter({own}, lambda x: regexp_matches(x, '{b}'))) AS y"
+
+
+@_query(f"WITH {_AR}, k AS (SELECT doc_id, {_TOKENS} AS w FROM ar), f AS (SELECT doc_id, {_signal(2, f'^[{T.FINAL_ONLY}]', f'[{T.FINAL_ONLY}]$')} FROM k), g AS (SELECT doc_id, {_signal(4, _LA + '$', '^' + _AL)} FROM k), s AS (SELECT f.doc_id, CASE WHEN f.x + f.y > 0 THEN (f.x - f.y) / (f.x + f.y) END AS final_only, CASE WHEN g.x + g.y > 0 THEN (g.x - g.y) / (g.x + g.y) END AS article FROM f JOIN g USING (doc_id)) SELECT doc_id, round(final_only, 6) AS final_only, round(article, 6) AS article, round(CASE WHEN final_only IS NULL AND article IS NULL THEN 0 ELSE (coalesce(final_only, 0) * .5 + coalesce(article, 0) * .15) / (CASE WHEN final_only IS NULL THEN 0 ELSE .5 END + CASE WHEN article IS NULL THEN 0 ELSE .15 END) END, 6)::DOUBLE AS order_score FROM s")
+def order_vote(spark, d):
+    w = X.words(F.col("t"))
+    return _ar(spark, d).select("doc_id", F.round(X.final_only_signal(w), 6).alias("final_only"), F.round(X.article_signal(w), 6).alias("article"), F.round(X.order_score(F.col("t")), 6).alias("order_score"))
+
+
+@_query(f"WITH {_AR} SELECT doc_id, {_n('t', f'[{T.ALEFS}][{T.ALEFS}]{T.LAM}')} AS decisive FROM ar")
+def lam_alef_counts(spark, d):
+    return _ar(spark, d).select("doc_id", X.lam_alef_decisive(F.col("t")).alias("decisive"))
+
+
+@_query("SELECT doc_id, 'none' AS defects, round(.3 + .6 * least(1.0, length(coalesce(text, '')) / 300.0), 3)::DOUBLE AS confidence FROM documents")
+def diagnose_untouched(spark, d):
+    own = _docs(spark, d).select("doc_id", repair.diagnosis(F.coalesce("text", F.lit(""))).alias("g"))
+    return own.select("doc_id", F.array_join("g.defects", ",").alias("defects"), "g.confidence")
+
+
+@_query("SELECT count(*) AS n, 0::BIGINT AS n_changed FROM documents")
+def false_repairs(spark, d):
+    """Text without Arabic must come back byte for byte."""
+    return repair.repair(_docs(spark, d).select("text")).agg(F.count("*").alias("n"), F.sum(F.col("changed").cast("long")).alias("n_changed"))
+
+
+def _recovery(spark, d):
+    own = _ar(spark, d).withColumn("damaged", D.with_forms(D.with_ligatures(D.with_homoglyphs(F.col("t")))))
+    fixed = own.withColumn("repaired", repair.repaired(F.col("damaged")))
+    # the ladder folds hygiene and turns lines by evidence; what counts is the text it should give
+    return fixed.withColumn("want", repair.repaired(F.col("t")))
+
+
+@_query("SELECT lang, count(*) AS n, count(*) AS recovered FROM documents GROUP BY lang")
+def repair_recovery(spark, d):
+    """Forms, ligatures and homoglyphs put in and repaired: how many texts of each language come out as the undamaged ones."""
+    return _recovery(spark, d).groupBy("lang").agg(F.count("*").alias("n"), F.sum((F.col("repaired") == F.col("want")).cast("long")).alias("recovered"))
+
+
+@_query(f"WITH {_AR} SELECT doc_id, sha256(t) AS new_sha256, true AS reverted FROM ar")
+def patch_round_trip(spark, d):
+    own = _ar(spark, d).withColumn("damaged", D.with_ligatures(F.col("t"))).withColumn("p", repair.patch(F.col("damaged"), F.col("t")))
+    return own.select("doc_id", F.col("p.new_sha256").alias("new_sha256"), (repair.reverted(F.col("t"), F.col("p")) == F.col("damaged")).alias("reverted"))
+
+
+# vocabulary
+
+
+@_query(f"WITH {_AR}, w AS (SELECT doc_id, unnest({_WORDS}) AS word FROM ar) SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL")
+def word_counts(spark, d):
+    return vocabulary.word_counts(_ar(spark, d))
+
+
+def _ngram_sql(n: int) -> str:
+    return f"WITH {_AR}, w AS (SELECT doc_id, {_WORDS} AS w FROM ar), g AS (SELECT doc_id, array_to_string(w[i:i+{n - 1}], ' ') AS gram FROM w, unnest(range(1, len(w) - {n - 2})) AS r(i)) SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL"
+
+
+@_query(_ngram_sql(2))
+def bigram_counts(spark, d):
+    return vocabulary.ngrams(_ar(spark, d), 2)
+
+
+@_query(_ngram_sql(3))
+def trigram_counts(spark, d):
+    return vocabulary.ngrams(_ar(spark, d), 3)
+
+
+@_query(f"WITH {_AR}, p AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS t, (generate_subscripts(string_split(t, chr(10)), 1) - 1)::INT AS para FROM ar), w AS (SELECT doc_id, para, unnest({_WORDS}) AS word FROM p) SELECT doc_id, para, word, count(*) AS n FROM w GROUP BY ALL")
+def paragraph_counts(spark, d):
+    return vocabulary.paragraph_counts(_ar(spark, d))
+
+
+@_query(f"WITH {_AR}, w AS (SELECT doc_id, unnest({_WORDS}) AS word FROM ar) SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 3")
+def document_vocabulary(spark, d):
+    return vocabulary.vocabulary(vocabulary.word_counts(_ar(spark, d)))
+
+
+_GRAMS = f"{_AR}, w AS (SELECT unnest({_WORDS}) AS word FROM ar), c AS (SELECT word, count(*) AS n FROM w GROUP BY word), p AS (SELECT word, '^' || word || '$' AS p, n FROM c), e AS (SELECT word, substring(p, i, 3) AS gram, n FROM p, unnest(range(1, greatest(length(p) - 1, 2))) AS r(i)), g AS (SELECT gram, sum(n)::BIGINT AS n FROM e GROUP BY gram)"
+
+
+@_query(f"WITH {_GRAMS} SELECT gram, n FROM g")
+def char_trigrams(spark, d):
+    return vocabulary.char_grams(vocabulary.word_counts(_ar(spark, d)), 3)
+
+
+@_query(f"WITH {_GRAMS} SELECT e.word, round(avg(ln((g.n + 1) / (SELECT sum(n) + count(*) FROM g))), 6) AS score FROM e JOIN g USING (gram) GROUP BY e.word")
+def word_likelihood(spark, d):
+    counts = vocabulary.word_counts(_ar(spark, d))
+    return vocabulary.likelihood(counts, vocabulary.char_grams(counts, 3), 3)
+
+
+@_query(f"WITH {_AR}, w AS (SELECT DISTINCT unnest({_WORDS}) AS word FROM ar), x AS (SELECT DISTINCT unnest({_WORDS}) AS word FROM (SELECT replace(t, '{_LA}', '{_AL}') AS t FROM ar)), s AS (SELECT word AS fixed, substring(word, 1, i - 2) || substring(word, i, 1) || '{T.LAM}' || substring(word, i + 1) AS broken FROM w, unnest(range(3, length(word) + 1)) AS r(i) WHERE regexp_matches(substring(word, i - 1, 2), '^{T.LAM}[{T.ALEFS}]$')), u AS (SELECT broken, min(fixed) AS fixed FROM s GROUP BY broken HAVING count(DISTINCT fixed) = 1) SELECT x.word, u.fixed FROM x JOIN u ON x.word = u.broken WHERE x.word NOT IN (SELECT word FROM w)")
+def lexicon_repairs(spark, d):
+    own = _ar(spark, d)
+    return vocabulary.lexicon_repairs(vocabulary.tokens(own.select("doc_id", D.with_broken_lam_alef(F.col("t")).alias("t"))), vocabulary.tokens(own))
+
+
+@_query()
+def near_words(spark, d):
+    """No SQL: all pairs of whole tables are too many there; tested against brute force."""
+    def words(table):
+        return spark.read.parquet(f"{d}/{table}.parquet").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1))).alias("word"))
+
+    return vocabulary.near_words(words("conversations"), words("benchmark"))
+
+
+@_query(f"WITH {_AR}, w AS (SELECT doc_id, unnest({_WORDS}) AS word FROM ar), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER v AS rank, n - coalesce(lead(n) OVER v, 0) AS margin FROM c WINDOW v AS (PARTITION BY doc_id ORDER BY n DESC, encode(word) DESC)) SELECT doc_id, word, n, rank::INT AS rank, margin FROM r WHERE rank <= 5")
+def ranked_words(spark, d):
+    return vocabulary.ranked(vocabulary.word_counts(_ar(spark, d)), "doc_id", "n", "word").where("rank <= 5")
+
+
+# aggregates and metrics
+
+
+@_query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text, min(length(text)) AS least FROM conversations GROUP BY conv_id")
+def joined_pages(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet").where("text is not null")
+    pages = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(pages, lambda p: p["text"]), "\n\n").alias("text"), F.min(F.length("text")).cast("long").alias("least"))
+
+
+@_query(f"WITH {_AR}, h AS (SELECT doc_id, unnest(['R', 'E', 'L', 'N']) AS bucket, unnest([{_n('t', metrics.BUCKETS[0][1] + '+')}, {_n('t', '[0-9]+')}, {_n('t', metrics.BUCKETS[2][1] + '+')}, {_n('t', '[^' + ''.join(p[1:-1] for _, p in metrics.BUCKETS) + '\\r\\n]+')}]) AS n FROM ar) SELECT doc_id, bucket, n FROM h WHERE n > 0")
+def direction_runs(spark, d):
+    return metrics.run_histogram(_ar(spark, d))
+
+
+@_query("WITH h AS (" + SQL["direction_runs"] + "), p AS (SELECT doc_id, n, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM h), e AS (SELECT doc_id, sum(n)::BIGINT AS n_runs, count(*) AS k, abs(sum(p * log2(p))) AS h FROM p GROUP BY doc_id) SELECT doc_id, n_runs, round(h, 4) AS entropy_bits, CASE WHEN k > 1 THEN round(h / log2(k), 4) ELSE 0 END AS normalized FROM e")
+def direction_entropy(spark, d):
+    return metrics.entropy(metrics.run_histogram(_ar(spark, d)))
+
+
+#: The damage is in ASCII letters, of which every engine's edit distance counts one a letter.
+_CONV = "c AS (SELECT conv_id, turn, text AS t FROM conversations WHERE text IS NOT NULL), x AS (SELECT conv_id, turn, t, replace(t, 'on', 'no') AS b FROM c), r AS (SELECT conv_id, turn, CASE WHEN length(t) > 0 THEN levenshtein(t, b) / length(t) ELSE 0 END AS cer FROM x)"
+
+
+def _rates(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet").where("text is not null")
+    return c.select("conv_id", "turn", metrics.error_rate(F.col("text"), F.replace("text", F.lit("on"), F.lit("no"))).alias("cer"))
+
+
+@_query(f"WITH {_CONV} SELECT conv_id, count(*) AS n, round(avg(cer), 6) AS mean_cer, round(max(cer), 6) AS worst FROM r GROUP BY conv_id")
+def error_rates(spark, d):
+    return _rates(spark, d).groupBy("conv_id").agg(F.count("*").alias("n"), F.round(F.avg("cer"), 6).alias("mean_cer"), F.round(F.max("cer"), 6).alias("worst"))
+
+
+@_query(f"WITH {_CONV}, k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cer DESC, turn DESC) AS rank FROM r) SELECT conv_id, turn, round(cer, 6) AS cer, rank::INT AS rank FROM k WHERE rank <= 3")
+def worst_lines(spark, d):
+    return metrics.worst(_rates(spark, d), "conv_id", [F.desc("cer"), F.desc("turn")]).withColumn("cer", F.round("cer", 6))
+
+
+@_query(f"WITH {_AR} SELECT lang, round(sum({_n('t', 'ی')}) / greatest(sum({_n('t', '[ء-ۓ]')}), 1), 6) AS drift, count(*) AS n FROM (SELECT lang, translate(t, 'ي', 'ی') AS t FROM ar) GROUP BY lang")
+def homoglyph_drift(spark, d):
+    t = F.translate("t", "ي", "ی")
+    return _ar(spark, d).groupBy("lang").agg(F.round(F.sum(X.count(t, f"[{''.join(T.HOMOGLYPHS)}]")) / F.greatest(F.sum(X.count(t, "[ء-ۓ]")), F.lit(1)), 6).alias("drift"), F.count("*").alias("n"))
+
+
+# layout
+
+_GLYPHS = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, line::INT AS line, 9.0::DOUBLE * (i - 1) AS x, 22.0::DOUBLE * line AS y, 11.0::DOUBLE AS size, s[i] AS ch FROM l, unnest(range(1, length(s) + 1)) AS r(i) WHERE s[i] NOT IN (' ', chr(9), chr(13)))"
+
+
+def _glyphs(spark, d):
+    return layout.glyphs(_docs(spark, d).select("doc_id", "text"))
+
+
+@_query(f"WITH {_GLYPHS} SELECT doc_id, line, min(x) AS x0, max(x) AS x1, median(y) AS y, count(*) AS n FROM g GROUP BY doc_id, line")
+def line_extents(spark, d):
+    return layout.extents(_glyphs(spark, d))
+
+
+_GAPS = f"{_GLYPHS}, a AS (SELECT *, x - lag(x) OVER (PARTITION BY doc_id, line ORDER BY x) AS gap FROM g), b AS (SELECT *, sum(CASE WHEN gap > 2.2 * size THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY x ROWS UNBOUNDED PRECEDING)::BIGINT AS cell FROM a)"
+
+
+@_query(f"WITH {_GAPS} SELECT doc_id, line, cell, min(x) AS x0, max(x) AS x1, count(*) AS n, string_agg(ch, '' ORDER BY x) AS text FROM b GROUP BY doc_id, line, cell")
+def line_cells(spark, d):
+    return layout.cells(_glyphs(spark, d))
+
+
+@_query(f"WITH {_GLYPHS}, e AS (SELECT doc_id, line, median(y) AS y FROM g GROUP BY ALL), h AS (SELECT *, max(y) OVER (PARTITION BY doc_id) AS hh FROM e) SELECT doc_id, line, CASE WHEN hh = 0 THEN 'body' WHEN y <= .08::DOUBLE * hh THEN 'header' WHEN y >= (1 - .08::DOUBLE) * hh THEN 'footer' ELSE 'body' END AS role FROM h")
+def page_bands(spark, d):
+    return layout.bands(layout.extents(_glyphs(spark, d))).select("doc_id", "line", "role")
+
+
+@_query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS line FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, line, len(string_split(s, '|')) AS n_cells FROM l), i AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM c WHERE n_cells >= 2), r AS (SELECT doc_id, min(line) AS first, max(line) AS last, count(*) AS n_lines FROM i GROUP BY doc_id, run) SELECT * FROM r WHERE n_lines >= 3")
+def table_runs(spark, d):
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    return layout.table_runs(lines.select("doc_id", "line", F.size(F.split("s", "\\|")).alias("n_cells")))
+
+
+@_query("SELECT c_custkey, '| ' || replace(c_name, '|', '\\|') || ' | ' || c_custkey::VARCHAR || ' |' AS md FROM customer")
+def markdown_rows(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", X.markdown_row(F.array("c_name", F.col("c_custkey").cast("string"))).alias("md"))
+
+
+@_query("SELECT DISTINCT chr(cp) AS ch, chr(cp) AS out FROM (SELECT unicode(unnest(string_split(text, ''))) AS cp FROM documents WHERE text IS NOT NULL) WHERE cp > 32")
+def glyph_names(spark, d):
+    """Every character of the documents as a glyph name and back."""
+    ch = _docs(spark, d).select(F.explode(F.split("text", "")).alias("ch")).where("ch > ' '").distinct()
+    name = F.concat(F.lit("u"), F.lpad(F.hex(F.conv(F.hex(F.encode("ch", "UTF-32")), 16, 10).cast("long")), 4, "0"), F.lit(".alt"))
+    return ch.select("ch", X.glyph_text(name).alias("out"))
