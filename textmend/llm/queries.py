@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), BYTE_BPE, end_id=0, with_ids=False)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm_score
+
+    return lm_score.score(_documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language_id
 
@@ -52,6 +59,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(_documents(spark, sf_dir), BYTE_BPE)
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import piece_lattice
+
+    return piece_lattice.encode(_documents(spark, sf_dir), PIECE_BPE).drop("ids")
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chunk_fingerprint
 
@@ -64,5 +77,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(_documents(spark, sf_dir))
 
 
-_ALL = (op1_token_store, op3_language_id, op4_jaccard_join, op5_repetition, op6_token_counts, op8_packing, op9_fingerprint, op10_substring_dedup)
+_ALL = (op1_token_store, op2_lm_score, op3_language_id, op4_jaccard_join, op5_repetition, op6_token_counts, op7_pieces, op8_packing, op9_fingerprint, op10_substring_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
