@@ -7,7 +7,9 @@ representative, takes part in the search.
 
 How: (1) sets are written to files, classes are formed by two 64-bit sums over
 each set; (2) every shingle's document frequency, combined per file, is counted
-over all representatives; (3) in the order of rising frequency the first
+over all representatives, in all and in the sets near enough in size (classes
+of sizes a factor 1 / t apart, and their neighbours): a shingle that no other
+such set has is never sent; (3) in the order of rising frequency the first
 ``n - ceil(t * n) + l`` shingles of a set are its prefix, where ``l`` is
 ``1 + n // EXTRA``: alike sets share ``l`` of them, so lists of the prefixes'
 shingles, length and place filters, and a count over all lists leave few
@@ -29,7 +31,9 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +58,49 @@ def least_overlap(n: np.ndarray | int, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
+def size_class(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Classes of sizes: alike sets are in the same or in neighbouring ones."""
+    ratio = max(Fraction(100, percent), Fraction(3, 2))
+    edges, edge = [], Fraction(1)
+    while len(edges) < 32:
+        edges.append(math.ceil(edge))
+        edge *= ratio
+    return np.searchsorted(np.array(edges), n, side="right").astype(np.uint64) - np.uint64(1)
+
+
+def _keys(h: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """43 bits of a shingle's hash and its set's size class: what frequencies are counted by."""
+    return (h & ~np.uint64(31)) | cls
+
+
+def _frequent(part: int, files: list[int], data: list[dict]) -> Iterator[dict]:
+    """For each key, in its order: the binary logarithm of the shingle's frequency, plus 32 if a set of near size has it too."""
+    values = [_chunks.undeltas(d["v"]) for d in data]
+    every = np.concatenate(values)
+    counts = np.concatenate([d["c"] for d in data]).astype(np.int64)
+    order = np.argsort(every, kind="stable")
+    s = every[order]
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = s[1:] != s[:-1]
+    begin = np.flatnonzero(new)
+    key, own = s[begin], np.add.reduceat(counts[order], begin)
+    shingle, cls = key >> np.uint64(5), (key & np.uint64(31)).astype(np.int64)
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = shingle[1:] != shingle[:-1]
+    at = np.flatnonzero(first)
+    total = np.repeat(np.add.reduceat(own, at), np.diff(np.append(at, len(key))))
+    near = own.copy()
+    beside = np.flatnonzero(~first[1:] & (cls[1:] == cls[:-1] + 1))
+    near[beside + 1] += own[beside]
+    near[beside] += own[beside + 1]
+    level = np.log2(total).astype(np.uint8) | ((near > 1).astype(np.uint8) << 5)
+    out = np.empty(len(s), np.uint8)
+    out[order] = np.repeat(level, np.diff(np.append(begin, len(s))))
+    ends = np.cumsum([0, *map(len, values)])
+    n = len(files)
+    yield {"file": files, "part": [part] * n, "data": [_chunks.pack(q=out[ends[i] : ends[i + 1]]) for i in range(n)], "x": [None] * n, "y": [None] * n}
+
+
 def sets(data: np.ndarray, at: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(ascending 48-bit shingle hashes by row, how many each row has)."""
     w = _words.Words(_words.lower_ascii(data), at)
@@ -256,35 +303,38 @@ def _search(manifest: DataFrame, files: int, total: int, percent: int) -> DataFr
 
     def frequencies(file, path, blobs, x, y) -> Iterator[dict]:
         h, size = own_sets(path, x)
-        v, c = np.unique(h, return_counts=True)
+        v, c = np.unique(_keys(h, np.repeat(size_class(size, percent), size)), return_counts=True)
         yield _chunks.value_blobs(file, v, c, parts, 48)
 
-    known = _chunks.tally(_chunks.by_file(manifest, files, reps, frequencies, _chunks.BLOB), parts)
+    known = _chunks.by_part(_chunks.by_file(manifest, files, reps, frequencies, _chunks.BLOB), parts, _frequent, _chunks.INFO)
 
     def prefixes(file, path, blobs, x, y) -> Iterator[dict]:
         rows = np.sort(x)
         h, size = own_sets(path, rows)
-        v, number = np.unique(h, return_inverse=True)
-        level = _chunks.levels(blobs)[number] if len(v) else np.zeros(0, np.uint8)
         row = np.repeat(np.arange(len(size)), size)
+        v, number = np.unique(_keys(h, size_class(size, percent)[row]), return_inverse=True)
+        known = _chunks.levels(blobs)[number] if len(v) else np.zeros(0, np.uint8)
+        level, near = known & 31, known > 31
         order = np.lexsort((h, level, row))
-        h, level = h[order], level[order]
+        h, near = h[order], near[order]
         place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
         longest = size - least_overlap(size, percent) + 1 + size // EXTRA
-        use = (place < longest[row]) & (level > 0)
+        use = (place < longest[row]) & near
         h, row, place = h[use], row[use], place[use]
         order = np.argsort(h, kind="stable")
         h, row, place = h[order], row[order], place[order]
         at = _chunks.cuts(h, parts, 48)
-        idx, n = file * _chunks.ROWS + rows[row], size[row].astype(np.uint32)
+        own, n = rows[row].astype(np.uint32), size[row].astype(np.uint32)
         on = [p for p in range(parts) if at[p] < at[p + 1]]
-        yield {"part": on, "file": [file] * len(on), "data": [_chunks.pack(h=h[at[p] : at[p + 1]], i=idx[at[p] : at[p + 1]], n=n[at[p] : at[p + 1]], k=place[at[p] : at[p + 1]].astype(np.uint32)) for p in on]}
+        yield {"part": on, "file": [file] * len(on), "data": [_chunks.pack(h=_chunks.deltas(h[at[p] : at[p + 1]]), i=own[at[p] : at[p + 1]], n=n[at[p] : at[p + 1]], k=place[at[p] : at[p + 1]].astype(np.uint32)) for p in on]}
 
     lists = _chunks.by_file(manifest, files, reps.union(known), prefixes, _chunks.BLOB)
 
-    def shared(part: int, _, data: list[dict]) -> Iterator[dict]:
+    def shared(part: int, files: list[int], data: list[dict]) -> Iterator[dict]:
         """Links from the lists of a range of shingles: (a, b, how many they share here, how many they must)."""
-        h, i, n, k = (np.concatenate([d[c] for d in data]) for c in "hink")
+        h = np.concatenate([_chunks.undeltas(d["h"]) for d in data])
+        i = np.concatenate([f * _chunks.ROWS + d["i"].astype(np.int64) for f, d in zip(files, data, strict=True)])
+        n, k = (np.concatenate([d[c] for d in data]) for c in "nk")
         n, k = n.astype(np.int64), k.astype(np.int64)
         order = np.lexsort((n, h))
         h, i, n, k = h[order], i[order], n[order], k[order]
@@ -320,10 +370,12 @@ def _search(manifest: DataFrame, files: int, total: int, percent: int) -> DataFr
         lo, hi, c, need, to = lo[order], hi[order], c[order], need[order], to[order]
         at = np.searchsorted(to, np.arange(parts + 1))
         on = [p for p in range(parts) if at[p] < at[p + 1]]
-        yield {"part": on, "file": [part] * len(on), "data": [_chunks.pack(a=lo[(s := slice(at[p], at[p + 1]))], b=hi[s], c=c[s].astype(np.uint32), m=need[s].astype(np.uint32)) for p in on]}
+        yield {"part": on, "file": [part] * len(on), "data": [_chunks.pack(a=np.diff(lo[(s := slice(at[p], at[p + 1]))], prepend=0), f=hi[s] >> 24, r=(hi[s] & (_chunks.ROWS - 1)).astype(np.uint32), c=c[s].astype(np.uint32), m=need[s].astype(np.uint32)) for p in on]}
 
     def linked(part: int, _, data: list[dict]) -> Iterator[dict]:
-        a, b, c, need = _summed(*(np.concatenate([d[x] for d in data]).astype(np.int64) for x in "abcm"))
+        a = np.concatenate([np.cumsum(d["a"]) for d in data])
+        f, r, c, need = (np.concatenate([d[x] for d in data]).astype(np.int64) for x in "frcm")
+        a, b, c, need = _summed(a, (f << 24) | r, c, need)
         ok = c >= need
         forest = Forest()
         for s, t in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
