@@ -46,11 +46,23 @@ def fold_simple(c: Column) -> Column:
     return translate(bare, T.SIMPLE)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def expand_deferred(c: Column) -> Column:
-    """Ligatures and mark forms, by table; texts without any are left alone."""
-    own = F.create_map(*[F.lit(x) for kv in T.DEFERRED.items() for x in kv])
-    whole = F.array_join(F.transform(_chars(c), lambda x: F.when(x.rlike(f"[{T.FORMS}]"), F.coalesce(own[x], x)).otherwise(x)), "")
-    return F.when(c.rlike(f"[{''.join(T.DEFERRED)}]"), whole).otherwise(c)
+    """Ligatures and mark forms, by table; texts without any are left alone. The lam-alef ligatures need no table."""
+    usual = [x for x in T.DEFERRED if "\ufef5" <= x <= "\ufefc"]
+    rare = {k: v for k, v in T.DEFERRED.items() if k not in usual}
+    own = F.create_map(*[F.lit(x) for kv in rare.items() for x in kv])
+
+    def others(t: Column) -> Column:
+        whole = F.array_join(F.transform(_chars(t), lambda x: F.when(x.rlike(f"[{T.FORMS}]"), F.coalesce(own[x], x)).otherwise(x)), "")
+        # a range: a class of hundreds of single characters is tested one by one
+        return F.when(t.rlike(f"[{T.FORMS}]"), whole).otherwise(t)
+
+    return let(reduce(lambda x, k: F.replace(x, F.lit(k), F.lit(T.DEFERRED[k])), usual, c), others)
 
 
 def fold_punctuation(c: Column) -> Column:
@@ -137,9 +149,11 @@ def artifacts(c: Column) -> dict[str, Column]:
 
 
 def _balance(tokens: Column, least: int, a, b) -> Column:
-    own = F.filter(tokens, lambda t: F.length(t) >= least)
-    x, y = F.size(F.filter(own, a)), F.size(F.filter(own, b))
-    return F.when(x + y > 0, (x - y) / (x + y))
+    def balance(own: Column) -> Column:
+        x, y = F.size(F.filter(own, a)), F.size(F.filter(own, b))
+        return let(F.struct(x.alias("x"), y.alias("y")), lambda n: F.when(n["x"] + n["y"] > 0, (n["x"] - n["y"]) / (n["x"] + n["y"])))
+
+    return let(F.filter(tokens, lambda t: F.length(t) >= least), balance)
 
 
 def final_only_signal(tokens: Column) -> Column:
@@ -154,10 +168,13 @@ def article_signal(tokens: Column) -> Column:
 
 def order_score(c: Column) -> Column:
     """Mean of the signals there are, weighted .50 and .15: above 0 the order is visual."""
-    tokens = words(c)
-    a, b = final_only_signal(tokens), article_signal(tokens)
-    weight = F.when(a.isNotNull(), 0.5).otherwise(0.0) + F.when(b.isNotNull(), 0.15).otherwise(0.0)
-    return F.when(weight > 0, (F.coalesce(a, F.lit(0.0)) * 0.5 + F.coalesce(b, F.lit(0.0)) * 0.15) / weight).otherwise(0.0)
+
+    def mean(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        weight = F.when(a.isNotNull(), 0.5).otherwise(0.0) + F.when(b.isNotNull(), 0.15).otherwise(0.0)
+        return F.when(weight > 0, (F.coalesce(a, F.lit(0.0)) * 0.5 + F.coalesce(b, F.lit(0.0)) * 0.15) / weight).otherwise(0.0)
+
+    return let(words(c), lambda w: let(F.struct(final_only_signal(w).alias("a"), article_signal(w).alias("b")), mean))
 
 
 def glyph_text(name: Column) -> Column:
