@@ -67,3 +67,16 @@ def test_lattice_as_by_brute_force_and_back(spark, awkward, nothing):
     back = {r.doc_id: r.text for r in pl.decode(pl.encode(awkward, MODEL), MODEL).collect()}
     assert all(back[d] == (t or "") for d, t, _ in AWKWARD)
     assert pl.encode(nothing, MODEL).count() == 0
+
+
+def test_ids_are_the_librarys(spark):
+    import sentencepiece
+
+    rnd = random.Random(3)
+    letters = "abcdeéinorst  \u2581\n😀"
+    texts = [t for _, t, _ in AWKWARD] + ["".join(rnd.choices(letters, k=rnd.randrange(1, 200))) for _ in range(100)] + ["unbelievable internationalisation of the lowercased tokenizers"]
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = pl.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MODEL).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert np.frombuffer(r.ids, "<u4").tolist() == lib.encode(texts[r.doc_id] or ""), texts[r.doc_id]

@@ -5,17 +5,20 @@ the sign U+2581, one more stands before the text, and a word is a run of
 signs with what follows them.  No piece reaches over a word's end.  For every
 distinct word of the corpus, substrings up to the longest piece are exploded
 and equi-joined to the piece table; the edges are grouped by word and a fold with
-higher-order functions (Viterbi) finds the path with the largest sum of scores.
+higher-order functions finds the path that the model's kind asks for.  For kind
+unigram it is the one with the largest sum of scores (Viterbi).  For kind BPE scores
+are only ranks: the fold keeps the boundaries between the word's parts as bits, and each step
+takes the best-ranked edge, leftmost first, that joins two neighbouring parts.
 Code points without a piece become byte pieces.  The words' ids then go back to the
 files that hold the words, and each file's documents are put together.
 
 ``decode`` turns ids into the text again, exactly: this is the round trip that the query checks.
 
-Ids are those of the best path by score.  A model of kind BPE merges in the order of
-its ranks instead; the README gives how often both agree.
+Ids of a BPE model are the sentencepiece library's own; for that no piece may reach over a
+word's end, and models with user-defined or unused pieces are refused.
 
 Cases: a null or empty text has no ids; words longer than ``LONGEST`` code points take
-the same recurrence in Python, where a long array isn't copied at each step; repeated rows
+the same steps in Python, where a long array isn't copied at each step; repeated rows
 get their rows; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,7 @@ from . import _chunks, _words
 from ._common import NO_ID, arrow_schema, documents, partitions
 
 SIGN = "▁"
+#: At most 61: a word's boundaries are bits of a long.
 LONGEST = 48
 #: Pieces that are broadcast at most.
 PIECES = 1 << 18
@@ -46,6 +51,7 @@ class Pieces:
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as proto
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         n = p.get_piece_size()
@@ -56,12 +62,50 @@ class Pieces:
         self.bytes = {int(p.id_to_piece(i)[3:5], 16): i for i in range(n) if p.is_byte(i)}
         self.back = {i: s.encode() for s, (i, _) in self.table.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.longest = max(map(len, self.table))
+        model = proto.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        #: Whether scores are ranks of merges.
+        self.ranked = model.trainer_spec.model_type == proto.TrainerSpec.BPE
+        kinds = {x.type for x in model.pieces}
+        if self.ranked and kinds & {proto.ModelProto.SentencePiece.USER_DEFINED, proto.ModelProto.SentencePiece.UNUSED}:
+            raise ValueError("a BPE model with user-defined or unused pieces")
+        if self.ranked and any(re.search(f"[^{SIGN}]{SIGN}", s) for s in self.table):
+            raise ValueError("a BPE model with pieces over a word's end")
         self.unknown = p.unk_id()
 
     def of_char(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode()] if self.bytes else [self.unknown]
 
     def viterbi(self, word: str) -> list[int]:
+        """Ids of a word as the fold of ``lattice`` finds them."""
+        return self.merged(word) if self.ranked else self.summed(word)
+
+    def merged(self, word: str) -> list[int]:
+        part, n = list(word), len(word)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+
+        def pair(a: int, b: int) -> list[tuple]:
+            got = self.table.get(part[a] + part[b]) if a >= 0 and b >= 0 else None
+            return [(-got[1], a, b, len(part[a]) + len(part[b]))] if got else []
+
+        heap = [x for i in range(n - 1) for x in pair(i, i + 1)]
+        heapify(heap)
+        while heap:
+            _, a, b, size = heappop(heap)
+            # one of the two has been merged since
+            if not part[a] or not part[b] or len(part[a]) + len(part[b]) != size:
+                continue
+            part[a] += part[b]
+            part[b] = ""
+            after[a] = after[b]
+            if after[a] >= 0:
+                before[after[a]] = a
+            for x in pair(before[a], a) + pair(a, after[a]):
+                heappush(heap, x)
+        return [i for s in part if s for i in ([self.table[s][0]] if s in self.table else self.of_char(s))]
+
+    def summed(self, word: str) -> list[int]:
         best: list[tuple] = [(0.0, 0, 0)]
         for e in range(1, len(word) + 1):
             found = []
@@ -92,6 +136,8 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     n = F.length("word")
     spans = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("s")).select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s") + 1))).alias("k"))
     edges = spans.select("word", "s", "k", F.substring("word", F.col("s"), F.col("k")).alias("piece")).join(F.broadcast(table), "piece", "left").where("id is not null or k = 1")
+    if pieces.ranked:
+        return merges(edges)
     edge = F.struct((F.col("s") + F.col("k") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).alias("v"))
     grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
     state = "array<struct<v:double,s:int,id:int>>"
@@ -111,6 +157,22 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     return grouped.select("word", "edges").withColumn("best", best).select("word", walk.alias("ids"))
 
 
+def merges(edges: DataFrame) -> DataFrame:
+    """word, ids by merging in the order of ranks; a set bit i of the fold's state is a boundary before code point i."""
+    ends, inner = F.expr("shiftleft(1L, s - 1) + shiftleft(1L, s + k - 1)"), F.expr("shiftleft(1L, s + k - 1) - shiftleft(1L, s)")
+    edge = F.struct((-F.coalesce("score", F.lit(UNKNOWN))).alias("rank"), "s", F.coalesce("id", -1 - F.ascii("piece")).alias("id"), ends.alias("ends"), inner.alias("inner"))
+    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+
+    def step(bits, _):
+        joins = F.filter("edges", lambda x: (bits.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bits.bitwiseAND(x["inner"])) == 1))
+        return F.coalesce(bits.bitwiseAND(F.bitwise_not(F.get(joins, F.lit(0))["inner"])), bits)
+
+    bits = F.aggregate(F.sequence(F.lit(1), F.length("word")), F.expr("shiftleft(1L, length(word) + 1) - 1"), step)
+    left = F.filter("edges", lambda x: (F.col("bits").bitwiseAND(x["ends"]) == x["ends"]) & (F.col("bits").bitwiseAND(x["inner"]) == 0))
+    path = F.array_sort(F.transform(left, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
+    return grouped.withColumn("bits", bits).select("word", F.transform(path, lambda x: x["id"]).alias("ids"))
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian 32-bit ids), exact (whether decoding gives the text again), ids (binary)."""
     spark, docs = docs.sparkSession, documents(docs)
