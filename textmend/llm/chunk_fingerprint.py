@@ -8,8 +8,8 @@ moves only the chunks it touches.  A fingerprint is the set of chunk digests
 (40 bits) with their lengths in bytes as weights.  The likeness of two
 fingerprints is containment: the weight they share over the smaller weight.
 
-Fingerprints are strings: base64 of 7-byte entries (digest 5, weight 2) in
-ascending order, a repeated chunk as often as it occurs up to a weight of 65535.
+Fingerprints are strings: base64 of 9-byte entries (digest 5, weight 4) in
+ascending order, a repeated chunk with the bytes of all its occurrences: no text of Spark has 4 GB.
 An empty text has the empty fingerprint; two empty ones have likeness 1, an
 empty and another 0.  Null texts are empty.  Equal texts have equal fingerprints.
 
@@ -41,7 +41,8 @@ STRICT, LOOSE = np.uint32((1 << 6) - 1), np.uint32((1 << 4) - 1)
 #: Documents of a range.
 RANGE_DOCUMENTS = 4_000
 _GEAR = np.random.default_rng(0xC4A2).integers(0, 2**32, 256, dtype=np.uint32)
-ENTRY = 7
+DIGEST, WEIGHT = 5, 4
+ENTRY = DIGEST + WEIGHT
 
 
 def gear(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -94,7 +95,7 @@ def boundaries(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def entries(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text the ascending values ``digest << 16 | weight`` of its distinct chunks."""
+    """For each text the digests of its distinct chunks, ascending, and their weights: two columns."""
     out: list[np.ndarray] = []
     i = 0
     while i < len(texts):
@@ -112,48 +113,42 @@ def _entries(texts: list[bytes]) -> list[np.ndarray]:
     at = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) for t in texts], out=at[1:])
     if len(data) == 0:
-        return [np.zeros(0, np.uint64) for _ in texts]
+        return [np.zeros((0, 2), np.uint64) for _ in texts]
     ends, counts = boundaries(data, at)
     starts = np.append(0, ends[:-1])
     digest = _words.span_hash(_words.prefix_hash(_words._TABLE[data]), starts, ends) >> np.uint64(24)
-    value = (digest << np.uint64(16)) | (ends - starts).astype(np.uint64)
     row = np.repeat(np.arange(len(texts)), counts)
-    order = np.lexsort((value, row))
-    value, row = value[order], row[order]
-    new = np.ones(len(value), dtype=bool)
-    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    order = np.lexsort((digest, row))
+    digest, row, length = digest[order], row[order], (ends - starts)[order]
+    new = np.ones(len(digest), dtype=bool)
+    new[1:] = (digest[1:] != digest[:-1]) | (row[1:] != row[:-1])
     begin = np.flatnonzero(new)
-    times = np.diff(np.append(begin, len(value))).astype(np.uint64)
-    value, row = value[begin], row[begin]
-    weight = np.minimum((value & np.uint64(0xFFFF)) * times, np.uint64(0xFFFF))
-    value = (value & ~np.uint64(0xFFFF)) | weight
-    return np.split(value, np.searchsorted(row, np.arange(1, len(texts))))
+    value = np.stack([digest[begin], np.add.reduceat(length, begin).astype(np.uint64)], axis=1)
+    return np.split(value, np.searchsorted(row[begin], np.arange(1, len(texts))))
 
 
 def encode(values: np.ndarray) -> str:
-    raw = values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 1:]
-    return base64.b64encode(raw.tobytes()).decode()
+    raw = np.ascontiguousarray(values).astype(">u8").view(np.uint8).reshape(-1, 2, 8)
+    return base64.b64encode(np.concatenate([raw[:, 0, 8 - DIGEST :], raw[:, 1, 8 - WEIGHT :]], axis=1).tobytes()).decode()
 
 
 def decode(fingerprint: str) -> np.ndarray:
     raw = np.frombuffer(base64.b64decode(fingerprint), np.uint8).reshape(-1, ENTRY)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, 1:] = raw
-    return full.view(">u8").astype(np.uint64).ravel()
+    full = np.zeros((len(raw), 2, 8), np.uint8)
+    full[:, 0, 8 - DIGEST :], full[:, 1, 8 - WEIGHT :] = raw[:, :DIGEST], raw[:, DIGEST:]
+    return full.view(">u8").astype(np.uint64).reshape(-1, 2)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
     """Shared weight over the smaller weight; the smaller weight counts for a chunk that both have."""
     if len(a) == 0 or len(b) == 0:
         return float(len(a) == len(b))
-    low, s = np.uint64(0xFFFF), np.uint64(16)
-    wa, wb = a & low, b & low
-    both = np.concatenate([a, b])
-    both.sort()
-    d = both >> s
-    same = d[1:] == d[:-1]
-    shared = int((both[:-1][same] & low).sum())
-    return shared / min(int(wa.sum()), int(wb.sum()))
+    digest, weight = np.concatenate([a, b]).T
+    order = np.argsort(digest, kind="stable")
+    digest, weight = digest[order], weight[order]
+    same = digest[1:] == digest[:-1]
+    shared = int(np.minimum(weight[1:], weight[:-1])[same].sum())
+    return shared / min(int(a[:, 1].sum()), int(b[:, 1].sum()))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
