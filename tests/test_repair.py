@@ -82,3 +82,13 @@ def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and all(r.n == r.recovered for r in rows)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_utf8_read_as_cp1252_is_recovered(spark):
+    """Some bytes are letters in CP1252, five are none and stay as they are."""
+    texts = ["سلام", "م", "فهرس ٍ", "naïve – “quoted” €", "日本語", "😀"]
+    wrong = ["".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in t.encode()) for t in texts]
+    assert wrong[0] == "Ø³Ù„Ø§Ù…"
+    assert [one(spark, X.recover_utf8, w) for w in wrong] == texts
+    for clean in ("سلام", "fine…", "é – è", "Ù\u0085Ù…"):
+        assert one(spark, X.recover_utf8, clean) is None

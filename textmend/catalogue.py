@@ -101,11 +101,12 @@ def punctuation_spacing(spark, d):
 
 @_query("SELECT doc_id, coalesce(text, '') AS out FROM documents WHERE regexp_matches(coalesce(text, ''), '[\x80-ÿ]') AND NOT regexp_matches(text, '[^\\x00-ÿ]')")
 def recover_mojibake(spark, d):
-    """Texts of Latin-1 read as UTF-8 bytes, one character a byte, and recovered."""
+    """UTF-8 bytes of Latin-1 texts read as Latin-1 and as CP1252, and recovered from both; null where the two differ."""
     text = F.coalesce("text", F.lit(""))
     wrong = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
     own = _docs(spark, d).where(text.rlike("[\\u0080-\\u00ff]") & ~text.rlike("[^\\x00-\\u00ff]"))
-    return own.select("doc_id", X.recover_utf8(wrong).alias("out"))
+    latin, windows = X.recover_utf8(wrong), X.recover_utf8(X.translate(wrong, {b: c for c, b in T.CP1252.items()}))
+    return own.select("doc_id", F.when(latin == windows, latin).alias("out"))
 
 
 # detectors

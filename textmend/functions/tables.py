@@ -46,3 +46,6 @@ def flat(table: dict[str, str]) -> tuple[str, str]:
     """(from, to) of the one-to-one entries, for translate."""
     one = {k: v for k, v in table.items() if len(v) == 1}
     return "".join(one), "".join(one.values())
+
+#: Characters of CP1252 and the bytes they stand for, as code points; five bytes stand for none and are left as they are.
+CP1252 = {bytes([b]).decode("cp1252"): chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}

@@ -197,6 +197,11 @@ def confidence(chars: Column) -> Column:
 
 
 def recover_utf8(c: Column) -> Column:
-    """UTF-8 bytes that were read as Latin-1; null where they are none."""
-    odd = c.rlike("[^\\x00-\\u00ff]") | ~c.rlike("[\\u0080-\\u00ff]")
-    return F.when(~odd, F.try_validate_utf8(F.encode(c, "ISO-8859-1").cast("string")))
+    """UTF-8 bytes that were read as CP1252 or Latin-1; null where they are none, and where signs of both are mixed."""
+    mixed = c.rlike(f"[{''.join(T.CP1252)}]") & c.rlike(f"[{''.join(T.CP1252.values())}]")
+
+    def recovered(t: Column) -> Column:
+        odd = t.rlike("[^\\x00-\\u00ff]") | ~t.rlike("[\\u0080-\\u00ff]")
+        return F.when(~odd, F.try_validate_utf8(F.encode(t, "ISO-8859-1").cast("string")))
+
+    return F.when(~mixed, let(translate(c, T.CP1252), recovered))
