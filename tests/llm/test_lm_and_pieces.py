@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 
 from tests.llm.conftest import AWKWARD
 from textmend.llm import lm_score as lm
@@ -51,6 +54,25 @@ def test_words_in_their_order_score_better(spark):
     assert np.mean([got[i] for i in range(40)]) > np.mean([got[1000 + i] for i in range(40)]) + 0.5
 
 
+def test_bucket_words_are_charged_their_share_of_the_bucket(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choices("known words", k=5) + [f"r{int(rnd.paretovariate(0.4)) % 3000}" for _ in range(200)]) for _ in range(60)] + ["", "known w", "r1 r1 r1", "junk"]
+    hashes = lm._words.Words(*lm._words.raw(lm._words.texts_of(pa.array(["k n o w"])))).hash
+    net = lm.start()
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), hashes, net).collect()}
+    hashed, scores = [], []
+    for _, _, w, ids, ctx in lm._coded(pa.array(texts), lm.Vocabulary(hashes)):
+        scores = np.bincount(w.row, lm.log_probability(lm.split(net), ctx, ids), len(texts))
+        hashed = [(r, h, i) for r, h, i in zip(w.row.tolist(), w.hash.tolist(), ids.tolist(), strict=True) if i >= lm.KNOWN]
+    of_word, of_bucket = Counter(h for _, h, _ in hashed), Counter(i for _, _, i in hashed)
+    assert max(of_bucket.values()) > max(of_word.values()) > 1
+    for r, h, i in hashed:
+        scores[r] += np.log(of_word[h] / of_bucket[i])
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i].n_words == len(t.split()) and got[i].score == pytest.approx(scores[i], rel=1e-6)
+
+
 def test_scores_of_awkward_rows(spark, awkward, nothing):
     rows = lm.score(awkward).collect()
     assert len(rows) == awkward.count() and all(r.score <= 0 and np.isfinite(r.score) for r in rows)

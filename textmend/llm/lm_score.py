@@ -7,6 +7,11 @@ Vocabulary: the ``KNOWN`` most frequent words of the whole corpus, and
 ``BUCKETS`` hash buckets for all others.  The network has an embedding for every
 id, one hidden layer, and a factored softmax: a word's class first, then the word within
 the class, given the class; both are normalised, so probabilities are exact.
+A word of a bucket is charged one level more, its share of the bucket's words.  The
+counts for that are of all documents that are scored and of every word: files of
+scored documents send their distinct bucket words to ranges of hash values, which
+send back how often each occurs in all files, so this table grows with the input and no task holds it.
+The network itself, and its ``KNOWN`` words, do not grow.
 
 Training covers every word of every document once: each task trains on its own
 rows from the same start (fitted on ``WARM`` documents chosen by hash) and
@@ -27,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _words
-from ._common import arrow_schema, documents, mapped, record
+from . import _chunks, _words
+from ._common import NO_ID, arrow_schema, documents, record
 
 KNOWN, BUCKETS, CLASS = 3840, 256, 64
 SIDE, WIDTH, HIDDEN = 2, 8, 32
@@ -223,15 +228,56 @@ def score(docs: DataFrame, hashes: np.ndarray | None = None, network: np.ndarray
         hashes = learn_vocabulary(docs)
     if network is None:
         network = train(docs, hashes)
-    shared = docs.sparkSession.sparkContext.broadcast((network, hashes))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((network, hashes))
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+    def chunk(batches: list[pa.RecordBatch]) -> tuple[dict, int]:
         flat, known = shared.value
         m, v = split(flat), Vocabulary(known)
-        for i, j, w, ids, ctx in _coded(batch.column("text"), v):
+        n, total, row, rare = [], [], [], []
+        for i, j, w, ids, ctx in _coded(pa.concat_arrays([_words.texts_of(b.column("text")) for b in batches]), v):
             logp = np.concatenate([log_probability(m, ctx[a : a + BATCH], ids[a : a + BATCH]) for a in range(0, len(ids), BATCH)]) if len(ids) else np.zeros(0)
-            total = np.bincount(w.row, logp, j - i)
-            n = w.count.astype(np.int64)
-            yield {"doc_id": batch.column("doc_id").slice(i, j - i), "n_words": n, "score": total, "per_word": pa.array(total / np.maximum(n, 1), mask=n == 0)}
-
-    return mapped(docs, run, "doc_id long, n_words long, score double, per_word double")
+            total.append(np.bincount(w.row, logp, j - i))
+            n.append(w.count.astype(np.int64))
+            row.append((w.row[ids >= KNOWN] + i).astype(np.uint32))
+            rare.append(w.hash[ids >= KNOWN])
+        h, which, count = np.unique(np.concatenate(rare), return_inverse=True, return_counts=True)
+        doc_id = np.concatenate([_chunks.ids_of(b.column("doc_id")) for b in batches])
+        return {"doc_id": doc_id, "n": np.concatenate(n), "score": np.concatenate(total), "row": np.concatenate(row), "which": which.astype(np.uint32), "h": h, "count": count.astype(np.uint32)}, len(h)
+
+    manifest = _chunks.write(docs, chunk, "scores")
+    files, distinct = manifest.agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0))).first()
+    parts = _chunks.parts_for(spark, distinct)
+
+    def totals(file, path, blobs, x, y) -> Iterator[dict]:
+        f = _chunks.load(path)
+        yield {"bucket": list(range(BUCKETS)), "n": np.bincount((f["h"] % np.uint64(BUCKETS)).astype(np.int64), f["count"], BUCKETS).astype(np.int64)}
+
+    of_bucket = np.ones(BUCKETS)
+    for r in _chunks.by_file(manifest, files, None, totals, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        of_bucket[r.bucket] = max(r.n, 1)
+
+    def listed(file, path, blobs, x, y) -> Iterator[dict]:
+        f = _chunks.load(path)
+        h, n, at = f["h"], f["count"], _chunks.cuts(f["h"], parts, 64)
+        use = [p for p in range(parts) if at[p] < at[p + 1]]
+        yield {"part": use, "file": [file] * len(use), "data": [_chunks.pack(v=_chunks.deltas(h[at[p] : at[p + 1]]), c=n[at[p] : at[p + 1]]) for p in use]}
+
+    def summed(part, own, data) -> Iterator[dict]:
+        values = [_chunks.undeltas(d["v"]) for d in data]
+        _, which = np.unique(np.concatenate(values), return_inverse=True)
+        n = np.bincount(which, np.concatenate([d["c"] for d in data]))[which].astype(np.uint64)
+        at, k = np.cumsum([0, *map(len, values)]), len(own)
+        yield {"file": own, "part": [part] * k, "data": [_chunks.pack(n=n[at[i] : at[i + 1]]) for i in range(k)], "x": [None] * k, "y": [None] * k}
+
+    info = _chunks.by_part(_chunks.by_file(manifest, files, None, listed, _chunks.BLOB), parts, summed, _chunks.INFO)
+
+    def put(file, path, blobs, x, y) -> Iterator[dict]:
+        f = _chunks.load(path)
+        n = np.concatenate([np.zeros(0, np.uint64), *(_chunks.unpack(blobs[p])["n"] for p in sorted(blobs))])
+        within = np.log(n.astype(np.float64)) - np.log(of_bucket[(f["h"] % np.uint64(BUCKETS)).astype(np.int64)])
+        d, words = f["doc_id"], f["n"]
+        total = f["score"] + np.bincount(f["row"], within[f["which"]], len(d))
+        yield {"doc_id": pa.array(d, mask=d == NO_ID), "n_words": words, "score": total, "per_word": pa.array(total / np.maximum(words, 1), mask=words == 0)}
+
+    return _chunks.by_file(manifest, files, info, put, "doc_id long, n_words long, score double, per_word double")
