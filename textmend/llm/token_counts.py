@@ -65,6 +65,7 @@ def section_counts(docs: DataFrame, tokenizer: str, sections: Callable[[np.ndarr
     """doc_id, section (from 0), start and length (bytes), n_tokens, n_crossing (of them, those that cross a boundary)."""
     if rule not in ("most", "start"):
         raise ValueError(f"no such rule: {rule}")
+
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         e = _bpe.encoder(tokenizer)
         if not e.cuts:
@@ -74,7 +75,8 @@ def section_counts(docs: DataFrame, tokenizer: str, sections: Callable[[np.ndarr
         for first, texts in _bpe.groups([t or "" for t in batch.column("text").to_pylist()]):
             coded = e.encode(texts)
             counts = np.array([len(x) // e.dtype.itemsize for x in coded])
-            sizes = np.array([len(r) for r in (raws := [t.encode() for t in texts])])
+            raws = [t.encode() for t in texts]
+            sizes = np.array([len(r) for r in raws])
             # one run over all rows: spans are offsets into the joined bytes
             data = np.frombuffer(b"".join(raws), np.uint8)
             at = np.append(0, np.cumsum(sizes))
