@@ -3,7 +3,9 @@
 Byte-level BPE never merges across the pre-tokens of its pattern, and a space
 before a non-space always begins a pre-token.  A text may therefore be cut
 there, and the ids of its parts joined are the ids of the text.  The cut is
-used for tokenizers of exactly that kind; any other encodes texts whole.
+used for tokenizers of exactly that kind; any other encodes texts whole, and so
+are texts that hold the content of an added token (it becomes that token, as the
+library does by default).
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 65_536 else "<u4")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and (spec.get("model") or {}).get("type") == "BPE" and all(t.get("special") for t in spec.get("added_tokens") or [])
+        #: Contents of added tokens, which are found before anything is cut: texts that hold one are encoded whole.
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        self.added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
         self.words: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         #: Bytes of each token: byte-level vocabularies spell one character per byte.
@@ -43,6 +47,8 @@ class Encoder:
         for token, i in vocab.items():
             self.width[i] = len(token)
             self.leads[i] = token[0] == "\u0120"
+        for token, i in added.items():
+            self.width[i] = len(token.encode())
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,7 +72,7 @@ class Encoder:
         """Little-endian ids of each text."""
         if not self.cuts:
             return self._encode(texts)
-        parts = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
+        parts = [[t] if self.added and self.added.search(t) else _CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
         heads = self._encode([p[0] for p in parts])
         for p in parts:
             p[0] = None
