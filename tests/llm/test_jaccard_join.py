@@ -66,6 +66,20 @@ def test_as_by_brute_force(spark, monkeypatch, block):
     assert sorted(map(tuple, jj.similar(df).collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("parts", [48, 7])
+def test_parts_whose_edges_are_no_round_numbers(spark, monkeypatch, parts):
+    """A shingle's size classes stay together, so one that two sets of neighbouring classes share isn't taken for unique."""
+    monkeypatch.setattr(jj._chunks, "parts_for", lambda spark, values: parts)
+    rows = rows_of(150, 11)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, jj.similar(df).collect()), key=str) == brute(rows)
+    keys = np.sort(np.random.default_rng(3).integers(0, 2**43, 5000, dtype=np.uint64) << np.uint64(5))
+    keys = np.sort(np.concatenate([keys, keys | np.uint64(7), keys | np.uint64(31)]))
+    at = jj._chunks.cuts(keys, parts, 48)
+    assert at[0] == 0 and at[-1] == len(keys) and (np.diff(at) >= 0).all()
+    assert all(keys[a - 1] >> np.uint64(5) != keys[a] >> np.uint64(5) for a in at[1:-1] if 0 < a < len(keys))
+
+
 def test_awkward(spark, awkward, nothing):
     assert sorted(map(tuple, jj.similar(awkward).collect()), key=str) == brute([(d, t) for d, t, _ in AWKWARD])
     assert jj.similar(nothing).count() == 0
