@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import arrow_schema, partitions, record, shared_path
+from ._common import arrow_schema, partitions, record, shared_path, trim
 
 #: Bytes of text of a file, about.
 CHUNK_BYTES = 32_000_000
@@ -133,6 +133,8 @@ def write(docs: DataFrame, fn: Callable[[list[pa.RecordBatch]], tuple[dict, int]
                     got += len(data) if u == i else 0
         if held:
             yield flush(held)
+        held = []
+        trim()
 
     path = f"{folder}/manifest"
     docs.mapInArrow(run, MANIFEST).write.parquet(path)
@@ -170,6 +172,7 @@ def by_file(manifest: DataFrame, tasks: int, info: DataFrame | None, fn: Callabl
                     continue
                 if files[i] != file:
                     yield from done()
+                    trim()
                     file, path, blobs, xs, ys = int(files[i]), None, {}, [], []
                 part = b.column("part").slice(i, j - i).to_numpy()
                 plain = part == -2
@@ -183,6 +186,7 @@ def by_file(manifest: DataFrame, tasks: int, info: DataFrame | None, fn: Callabl
                     else:
                         blobs[int(part[k])] = data
         yield from done()
+        trim()
 
     return spread.repartitionById(max(1, tasks), F.col("p")).sortWithinPartitions("file", "part").select("file", "part", "data", "x", "y").mapInArrow(run, schema)
 
@@ -201,6 +205,8 @@ def by_part(blobs: DataFrame, parts: int, fn: Callable, schema: str) -> DataFram
         if files:
             for out in fn(part, files, data):
                 yield record(out, arrow)
+        files = data = None
+        trim()
 
     return blobs.repartitionById(parts, F.col("part")).mapInArrow(run, schema)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import math
 import shutil
 import tempfile
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 
 #: ``doc_id`` of a row that has none sorts before all others, under this value.
 NO_ID = -(2**63)
+_LIBC = ctypes.CDLL(None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -97,5 +100,13 @@ def shard_of(column, bounds: list[int]):
     return part(0, len(bounds)).cast("int")
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: Python workers outlive their tasks, and others need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

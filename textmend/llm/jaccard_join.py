@@ -349,7 +349,7 @@ def _search(manifest: DataFrame, files: int, total: int, percent: int) -> DataFr
         edge = np.append(0, np.cumsum(partners))
         u = 0
         while u < len(h):
-            v = max(u + 1, int(np.searchsorted(edge, edge[u] + 3_000_000, side="right")) - 1)
+            v = max(u + 1, int(np.searchsorted(edge, edge[u] + 1_000_000, side="right")) - 1)
             m = partners[u:v]
             a = np.repeat(np.arange(u, v), m)
             b = a + 1 + np.arange(len(a)) - np.repeat(edge[u:v] - edge[u], m)

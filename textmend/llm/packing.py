@@ -12,6 +12,9 @@ length, except at a power of two, which is a length of its own.
 Cases: a null text is an empty one (the end id alone); repeated rows and ids
 are packed each; an empty table gives no piece; other columns are ignored.
 
+Rows that are the same go to a group for each partition that they come from, so no
+group is hot.
+
 Scale: one shuffle, of the remainders' ids (less than a sequence for each
 document) and of a row for each full piece.  Groups are runs of at most
 ``group`` pieces of a partition in hash order, so their memory is bounded
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bpe
-from ._common import arrow_schema, documents, partitions, record
+from ._common import arrow_schema, documents, partitions, record, trim
 
 LENGTH = 1024
 #: Pieces that are packed together.
@@ -113,7 +116,7 @@ def padding(fill: int, length: int = LENGTH) -> int:
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 0, group: int = GROUP, seed: int = 7, with_ids: bool = True) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, its ids."""
     parts = partitions(docs.sparkSession)
-    docs = documents(docs).select("doc_id", "text", F.xxhash64("doc_id", F.crc32("text"), F.lit(seed)).alias("h"))
+    docs = documents(docs).select("doc_id", "text", F.xxhash64("doc_id", F.crc32("text"), F.spark_partition_id(), F.lit(seed)).alias("h"))
     cut = "h long, doc_id long, start long, length long, doc_tokens long, crc long, ids binary"
     cut_schema = arrow_schema(cut)
 
@@ -137,6 +140,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
                         for f, x in zip(add, row, strict=True):
                             f(x)
                 yield record(out, cut_schema)
+        trim()
 
     ddl = PIECES if with_ids else PIECES.removesuffix(", ids binary")
     schema = arrow_schema(ddl)
@@ -179,6 +183,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
             yield record(out, schema)
         if waiting:
             yield record(packed(), schema)
+        trim()
 
     spread = docs.mapInArrow(pieces, cut).withColumn("p", F.pmod("h", F.lit(parts)).cast("int"))
     # ties of the order are rows that are the same, so that a repeated attempt packs alike
