@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata as ud
 
-ALEFS = "\u0627\u0622\u0623\u0625"
+ALEFS = "\u0627\u0622\u0623\u0625\u0671"
 LAM, TATWEEL, NBSP, SOFT_HYPHEN, THOUSANDS, COMMA, BAD = "\u0644", "\u0640", "\u00a0", "\u00ad", "\u066c", "\u060c", "\ufffd"
 FINAL_ONLY = "\u0629\u0649"
 ZERO_WIDTH = "\u200b\u200c\u200d\u200e\u200f\ufeff"
@@ -36,6 +36,15 @@ def _forms() -> tuple[dict[str, str], dict[str, str]]:
 
 
 SIMPLE, DEFERRED = _forms()
+
+
+def _joining() -> dict[str, str]:
+    """Initial, medial, final or isolated (I M F S) of the forms that join; forms of marks tell nothing."""
+    tags = {"<initial>": "I", "<medial>": "M", "<final>": "F", "<isolated>": "S"}
+    return {f: tags[tag] for f, base in {**SIMPLE, **DEFERRED}.items() if (tag := ud.decomposition(f).split()[0]) in tags and ud.category(base[0]) != "Mn"}
+
+
+JOINING = _joining()
 #: Presentation punctuation and what it stands for.
 PUNCTUATION = {chr(c): ud.normalize("NFKC", chr(c)) for c in range(0xFE10, 0xFE6C) if ud.category(chr(c))[0] == "P" and ud.normalize("NFKC", chr(c)) != chr(c)}
 #: A letter's isolated form.
@@ -49,3 +58,12 @@ def flat(table: dict[str, str]) -> tuple[str, str]:
 
 #: Characters of CP1252 and the bytes they stand for, as code points; five bytes stand for none and are left as they are.
 CP1252 = {bytes([b]).decode("cp1252"): chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _legacy(page: str) -> dict[str, str]:
+    """Characters as CP1252 or Latin-1 shows them and what their bytes stand for in ``page``; none for a byte that has no meaning there."""
+    shown = {**{chr(b): b for b in range(0x80, 0x100)}, **{c: ord(b) for c, b in CP1252.items()}}
+    return {c: bytes([b]).decode(page, "ignore") for c, b in shown.items()}
+
+
+CP1256, ISO_8859_6 = _legacy("cp1256"), _legacy("iso8859_6")

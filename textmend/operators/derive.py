@@ -36,3 +36,46 @@ def with_broken_lam_alef(c: Column) -> Column:
 
 def with_ligatures(c: Column) -> Column:
     return F.replace(c, F.lit(T.LAM + "\u0627"), F.lit("\ufefb"))
+
+
+def _by_letter() -> dict[str, dict[str, str]]:
+    table: dict[str, dict[str, str]] = {}
+    for form, kind in T.JOINING.items():
+        if (base := T.SIMPLE.get(form)) and form >= "\ufe70":
+            table.setdefault(base, {})[kind] = form
+    return table
+
+
+FORMS = _by_letter()
+#: Letters that join the following one, and all that join the one before.
+DUAL = "".join(b for b, f in FORMS.items() if "I" in f)
+JOINED = "".join(b for b, f in FORMS.items() if "F" in f)
+
+
+def form_table(kind: str) -> dict[str, str]:
+    return {b: f[kind] for b, f in FORMS.items() if kind in f}
+
+
+def shaped(c: Column) -> Column:
+    """Letters as the forms that a font would draw, by their neighbours."""
+
+    def among(x: Column, letters: str) -> Column:
+        return F.coalesce(F.contains(F.lit(letters), x) & (x != ""), F.lit(False))
+
+    def form(a: Column, x: Column, i: Column) -> Column:
+        back = among(F.get(a, i - 1), DUAL) & among(x, JOINED)
+        on = among(x, DUAL) & among(F.get(a, i + 1), JOINED)
+        own = {k: F.translate(x, "".join(form_table(k)), "".join(form_table(k).values())) for k in "IMFS"}
+        return F.when(back & on, own["M"]).when(back, own["F"]).when(on, own["I"]).otherwise(own["S"])
+
+    return F.transform(F.array(F.split(c, "")), lambda a: F.array_join(F.transform(a, lambda x, i: form(a, x, i)), ""))[0]
+
+
+def visual(c: Column) -> Column:
+    """Every line backwards."""
+    return F.array_join(F.transform(F.split(c, "\n"), F.reverse), "\n")
+
+
+def with_spaces_cut(c: Column) -> Column:
+    """Blanks after punctuation and the function words' own go."""
+    return F.replace(F.replace(c, F.lit("، "), F.lit("،")), F.lit("؛ "), F.lit("؛"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata as ud
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import tables as T
+
 
 def error_rate(reference: Column, hypothesis: Column) -> Column:
     """Edit distance over the reference's length; 0 for an empty reference."""
@@ -17,14 +22,93 @@ def worst(rates: DataFrame, key: str, order: list[Column], k: int = 3) -> DataFr
     return rates.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
 
 
-BUCKETS = [("R", "[֐-ࣿיִ-﷿ﹰ-ﻼ]"), ("E", "[0-9]"), ("L", "[A-Za-zªµºÀ-ÖØ-öø-ʸ]")]
+_FAMILY = {"AL": "R", "R": "R", "AN": "AN", "EN": "EN", "ES": "EN", "ET": "EN", "WS": "W", "S": "W", "B": "W", "BN": "W"}
+
+
+@lru_cache(1)
+def families() -> dict[str, str]:
+    """Members of the families of bidirectional classes R, AN, EN and W as ranges of code points, from the Unicode data.
+
+    They are listed where they differ from the general categories: up to U+3100 and among the forms.
+    """
+    runs: dict[str, list[list[int]]] = {b: [] for b in ("R", "AN", "EN", "W")}
+    for cp in (*range(0x3100), *range(0xFB1D, 0x10000)):
+        b = _FAMILY.get(ud.bidirectional(chr(cp)))
+        if b and runs[b] and runs[b][-1][1] == cp - 1:
+            runs[b][-1][1] = cp
+        elif b:
+            runs[b].append([cp, cp])
+    return {b: "".join(f"\\x{{{x:x}}}" if x == y else f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in r) for b, r in runs.items()}
+
+
+#: Letters and what behaves like them, and marks, by general category.
+LEFT, MARK = "\\p{L}\\p{Mc}\\p{Nl}\\p{Co}", "\\p{Mn}\\p{Me}"
+
+
+def buckets() -> list[tuple[str, str]]:
+    """(bucket, class) of the six named families; N is what is left."""
+    f = families()
+    return [("R", f["R"]), ("AN", f["AN"]), ("L", f"{LEFT}&&[^{f['R']}{f['AN']}{f['EN']}]"), ("EN", f["EN"]), ("W", f"{f['W']}&&[^\\r\\n]"), ("M", f"{MARK}&&[^{f['R']}]")]
+
+
+def bucket_counts(c: Column) -> Column:
+    """Array of (bucket, n): maximal runs of one family of directions within lines, counted in the row.
+
+    A line break ends a run and is none itself.
+    """
+    f = families()
+    found = [(b, f"[{k}]") for b, k in buckets()]
+    found.append(("N", f"[^{''.join(f.values())}{LEFT}{MARK}\\r\\n]"))
+    every = [F.struct(F.lit(b).alias("bucket"), F.regexp_count(c, F.lit(f"{k}+")).cast("long").alias("n")) for b, k in found]
+    return F.filter(F.array(*every), lambda x: x["n"] > 0)
 
 
 def run_histogram(df: DataFrame, key: str = "doc_id", text: str = "t") -> DataFrame:
-    """key, bucket, n: maximal runs of one direction within lines, counted by regular expression in the row."""
-    other = "[^" + "".join(p[1:-1] for _, p in BUCKETS) + "\\r\\n]"
-    found = [F.struct(F.lit(name).alias("bucket"), F.regexp_count(text, F.lit(f"{p}+")).cast("long").alias("n")) for name, p in [*BUCKETS, ("N", other)]]
-    return df.select(key, F.inline(F.array(*found))).where("n > 0")
+    """key, bucket, n of ``bucket_counts``."""
+    return df.select(key, F.inline(bucket_counts(F.col(text))))
+
+
+def flow(c: Column) -> Column:
+    """Struct of n_runs, entropy_bits and normalized of a text's direction runs, in the row."""
+
+    def told(h: Column) -> Column:
+        total = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        bits = F.aggregate(h, F.lit(0.0), lambda a, x: a - x["n"] / total * F.log2(x["n"] / total))
+        return F.struct(total.alias("n_runs"), F.round(F.abs(bits), 4).alias("entropy_bits"), F.when(F.size(h) > 1, F.round(bits / F.log2(F.size(h)), 4)).otherwise(0.0).alias("normalized"), F.map_from_entries(h).alias("histogram"))
+
+    return F.transform(F.array(bucket_counts(c)), told)[0]
+
+
+def entropy_delta(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, delta of the normalised entropies of two ``entropy`` tables."""
+    return a.select(key, F.col("normalized").alias("x")).join(b.select(key, F.col("normalized").alias("y")), key).select(key, F.round(F.abs(F.col("x") - F.col("y")), 4).alias("delta"))
+
+
+LETTERS = "ء-يٮ-ۓۺ-ۿ"
+
+
+def base_marks(df: DataFrame, key: str = "doc_id", text: str = "t") -> DataFrame:
+    """key, base, mark, n: marks by the letter that they stand on, homoglyphs folded; without a letter under "_"."""
+    found = F.regexp_extract_all(text, F.lit(f"([{LETTERS}]?[{T.MARKS}]+)"), F.lit(1))
+    cut = df.select(key, F.explode(found).alias("c"))
+    base = F.when(F.col("c").rlike(f"^[{LETTERS}]"), F.translate(F.substring("c", 1, 1), "".join(T.HOMOGLYPHS), "".join(T.HOMOGLYPHS.values()))).otherwise("_")
+    marks = F.explode(F.split(F.regexp_replace("c", f"^[{LETTERS}]", ""), "")).alias("mark")
+    return cut.select(key, base.alias("base"), marks).where("mark != ''").groupBy(key, "base", "mark").agg(F.count("*").alias("n"))
+
+
+def top_bases(matrix: DataFrame, key: str = "doc_id", k: int = 12) -> DataFrame:
+    """``base_marks`` of the ``k`` letters that carry most marks; of equal ones the first letters."""
+    sums = matrix.where("base != '_'").groupBy(key, "base").agg(F.sum("n").alias("total"))
+    top = sums.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("total"), "base"))).where(F.col("rank") <= k)
+    return matrix.join(top.select(key, "base", "rank"), [key, "base"])
+
+
+def mark_rates(c: Column) -> Column:
+    """Struct of leading_mark_rate (words that begin with a mark) and marks_per_base."""
+    words = F.filter(F.split(c, "\\s+"), lambda w: w != "")
+    leading = F.size(F.filter(words, lambda w: w.rlike(f"^[{T.MARKS}]")))
+    bases, marks = F.regexp_count(c, F.lit(f"[{LETTERS}]")), F.regexp_count(c, F.lit(f"[{T.MARKS}]"))
+    return F.struct(F.round(leading / F.greatest(F.size(words), F.lit(1)), 4).alias("leading_mark_rate"), F.round(marks / F.greatest(bases, F.lit(1)), 4).alias("marks_per_base"))
 
 
 def entropy(histogram: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
+from ..functions import text as X
 
 WORD = "([ء-ۓ]{3,})"
 
@@ -28,8 +31,9 @@ def ngrams(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
 
 
 def paragraph_counts(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    parts = df.select(key, F.posexplode(F.split("t", "\n")).alias("para", "t"))
-    return parts.select(key, "para", F.explode(F.regexp_extract_all("t", F.lit(WORD), F.lit(1))).alias("word")).groupBy(key, "para", "word").agg(F.count("*").alias("n"))
+    """key, para (from 0; a blank line ends one), word, n of all words, however short."""
+    parts = df.select(key, F.posexplode(F.split("t", "\n\n")).alias("para", "t"))
+    return parts.select(key, "para", F.explode(F.regexp_extract_all("t", F.lit("([ء-يٱ-ۓ]+)"), F.lit(1))).alias("word")).groupBy(key, "para", "word").agg(F.count("*").alias("n"))
 
 
 def char_grams(counts: DataFrame, n: int) -> DataFrame:
@@ -52,12 +56,29 @@ def vocabulary(counts: DataFrame, least: int = 3, key: str = "doc_id") -> DataFr
     return counts.where(F.col("n") >= least).select(key, "word", "n")
 
 
-def lexicon_swaps(lexicon: DataFrame) -> DataFrame:
-    """broken, fixed: every way a lexicon's word loses a lam-alef to alef-lam, where only one word can be meant."""
-    at = F.filter(F.sequence(F.lit(2), F.length("word")), lambda i: F.substring("word", i - 1, F.lit(2)).rlike(f"^{T.LAM}[{T.ALEFS}]$") & (i > 2))
-    cut = lexicon.where(F.col("word").rlike(f".{T.LAM}[{T.ALEFS}]")).select("word", F.explode(at).alias("i"))
-    broken = F.concat(F.substring("word", F.lit(1), F.col("i") - 2), F.substring("word", F.col("i"), F.lit(1)), F.lit(T.LAM), F.substring("word", F.col("i") + 1, F.length("word")))
-    return cut.select(broken.alias("broken"), F.col("word").alias("fixed")).groupBy("broken").agg(F.min("fixed").alias("fixed"), F.countDistinct("fixed").alias("k")).where("k = 1").select("broken", "fixed")
+def harvest(df: DataFrame, key: str = "doc_id", text: str = "t") -> DataFrame:
+    """key, word: distinct words of a document that aren't suspected of a turned lam-alef themselves."""
+    word = F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("([ء-يٱ-ۓ]{3,})"), F.lit(1)))).alias("word")
+    return df.select(key, word).where(~X.is_suspect(F.col("word"))).distinct()
+
+
+def union_lexicon(*lexicons: DataFrame) -> DataFrame:
+    """The distinct words of all lexicons."""
+    return reduce(DataFrame.union, [x.select("word") for x in lexicons]).distinct()
+
+
+def lexicon_swaps(lexicon: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys,) broken, fixed: every way a lexicon's word loses a lam-alef to alef-lam between Arabic characters.
+
+    A broken word that the lexicon has itself is none; of several words that it can come from, the one that is
+    turned at the first place is meant.  With ``keys``, each key has a lexicon of its own.
+    """
+    keys = keys or []
+    at = F.filter(F.sequence(F.lit(2), F.length("word") - 2), lambda i: F.substring("word", i - 1, F.lit(4)).rlike(f"^[\u0600-\u06ff]{T.LAM}[{T.ALEFS}][\u0600-\u06ff]"))
+    cut = lexicon.where(F.col("word").rlike(f".{T.LAM}[{T.ALEFS}].")).select(*keys, "word", F.explode(at).alias("i"))
+    broken = F.concat(F.substring("word", F.lit(1), F.col("i") - 1), F.substring("word", F.col("i") + 1, F.lit(1)), F.lit(T.LAM), F.substring("word", F.col("i") + 2, F.length("word")))
+    first = cut.select(*keys, broken.alias("broken"), F.col("word").alias("fixed"), "i").groupBy(*keys, "broken").agg(F.min_by("fixed", F.struct("i", "fixed")).alias("fixed"))
+    return first.join(lexicon.select(*keys, F.col("word").alias("broken")).distinct(), [*keys, "broken"], "left_anti")
 
 
 def lexicon_repairs(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -66,14 +87,18 @@ def lexicon_repairs(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return words.select("word").distinct().join(lex, "word", "left_anti").join(lexicon_swaps(lex), F.col("word") == F.col("broken")).select("word", "fixed")
 
 
-def near_words(observed: DataFrame, known: DataFrame) -> DataFrame:
-    """word, near: pairs within edit distance one, by deletion neighbourhoods and then the distance itself."""
+def near_words(observed: DataFrame, known: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys,) word, near: pairs within edit distance one, by deletion neighbourhoods and then the distance itself.
+
+    With ``keys``, words meet only within the same document.
+    """
+    keys = keys or []
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
         cut = F.transform(F.sequence(F.lit(1), F.length("own")), lambda i: F.concat(F.substring("own", F.lit(1), i - 1), F.substring("own", i + 1, F.length("own"))))
-        return df.select(F.col("word").alias("own")).distinct().select(F.col("own").alias(name), F.explode(F.array_distinct(F.concat(F.array("own"), cut))).alias("k"))
+        return df.select(*keys, F.col("word").alias("own")).distinct().select(*keys, F.col("own").alias(name), F.explode(F.array_distinct(F.concat(F.array("own"), cut))).alias("k"))
 
-    pairs = keyed(observed, "word").join(keyed(known, "near"), "k").where("word != near").select("word", "near").distinct()
+    pairs = keyed(observed, "word").join(keyed(known, "near"), [*keys, "k"]).where("word != near").select(*keys, "word", "near").distinct()
     return pairs.where(F.levenshtein("word", "near") == 1)
 
 
