@@ -39,3 +39,15 @@ def test_weights_of_long_repetitive_texts(spark):
             own = cf.decode(fingerprint)
             assert own[:, 1].sum() == len(t.encode()) and cf.encode(own) == fingerprint and (np.diff(own[:, 0].astype(np.int64)) > 0).all()
     assert abs(next(r.near_edited for r in rows if r.doc_id == 0) - 0.5) < 0.01
+
+
+def test_awkward_rows(spark, awkward, nothing):
+    """Every row has its own; equal texts have equal fingerprints; an empty table has none."""
+    rows = cf.edit_probe(awkward).collect()
+    assert len(rows) == awkward.count()
+    same = [r.fingerprint for r in rows if r.doc_id == 1]
+    assert len(same) == 2 and len(set(same)) == 1
+    texts = {d: t for d, t in awkward.select("doc_id", "text").collect()}
+    for r in rows:
+        assert r.n_chars == len(texts[r.doc_id] or "") and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert cf.edit_probe(nothing).count() == 0

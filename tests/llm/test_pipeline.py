@@ -35,3 +35,19 @@ def test_stages_as_by_brute_force(spark):
     assert all(r.n_chars == len(r.text) for r in after)
     pieces = cp.packed(spark, at, SF).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in after}
+
+
+def test_awkward_rows_and_an_empty_table(spark, awkward, nothing):
+    """Nulls, empty texts, repeated rows and other columns pass through all stages; the columns stay what they are."""
+    docs = awkward
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.stored(stage(spark, docs, SF), name)
+        assert docs.columns == awkward.columns
+    assert cp.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+    rows = [(i, " ".join(f"word{i}x{k}" for k in range(60)), "en") for i in range(12)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    none = plain.limit(0)
+    for name, stage in cp.STAGES[1:-1]:
+        none = cp.stored(stage(spark, none, SF), name)
+    assert none.count() == 0 and cp.STAGES[-1][1](spark, none, SF).count() == 0
+    assert cp.STAGES[0][1](spark, nothing, SF).count() == 0

@@ -20,7 +20,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words kept per process; later ones are encoded again when they come.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 _ODD = re.compile(r" \s| \Z")
 _CUT = re.compile(r" (?=\S)")
 
@@ -99,7 +99,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def groups(texts: list[str], size: int = 1_000_000):
+def groups(texts: list[str], size: int = 2_000_000):
     """(first, texts) of runs of texts with about ``size`` characters."""
     i, n = 0, len(texts)
     while i < n:

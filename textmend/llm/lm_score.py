@@ -38,7 +38,8 @@ from ._common import NO_ID, arrow_schema, documents, record
 KNOWN, BUCKETS, CLASS = 3840, 256, 64
 SIDE, WIDTH, HIDDEN = 2, 8, 32
 BATCH, RATE = 1024, 0.05
-WARM = 256
+#: Documents of the first fit, and how much of each is read for it.
+WARM, WARM_CHARS = 256, 20_000
 BLOCKS = 16
 _IDS = KNOWN + BUCKETS
 _SHAPES = {"e": (_IDS + 1, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, CLASS), "p": (CLASS,), "c": (CLASS, HIDDEN), "v": (HIDDEN, CLASS), "q": (CLASS,)}
@@ -188,7 +189,10 @@ def learn_vocabulary(docs: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, hashes: np.ndarray) -> np.ndarray:
     """One network, the average of what all tasks learn from their rows."""
     spark, vocabulary = docs.sparkSession, Vocabulary(hashes)
-    warm = [r[0] for r in docs.where("text is not null").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(WARM).select("text").collect()]
+    own = docs.where("text is not null").select("text", F.xxhash64("doc_id", F.crc32("text"), F.lit(17)).alias("h"))
+    # hashes only are ordered; then the beginnings of that many texts are read
+    last = own.select("h").orderBy("h").limit(WARM).agg(F.max("h")).first()[0]
+    warm = [r[0] for r in own.where(F.col("h") <= F.lit(last)).select(F.substring("text", 1, WARM_CHARS)).limit(WARM).collect()] if last is not None else []
     first = Trainer(start())
     for *_, ids, ctx in _coded(pa.array(sorted(warm), pa.string()), vocabulary):
         first.train(ctx, ids)

@@ -3,14 +3,17 @@
 A text becomes words as the model's normaliser escapes it: spaces turn into
 the sign U+2581, one more stands before the text, and a word is a run of
 signs with what follows them.  No piece reaches over a word's end.  For every
-distinct word of the corpus, substrings up to the longest piece are exploded
+distinct word of a file, substrings up to the longest piece are exploded
 and equi-joined to the piece table; the edges are grouped by word and a fold with
 higher-order functions finds the path that the model's kind asks for.  For kind
 unigram it is the one with the largest sum of scores (Viterbi).  For kind BPE scores
 are only ranks: the fold keeps the boundaries between the word's parts as bits, and each step
 takes the best-ranked edge, leftmost first, that joins two neighbouring parts.
-Code points without a piece become byte pieces.  The words' ids then go back to the
-files that hold the words, and each file's documents are put together.
+Code points without a piece become byte pieces.
+
+Documents are kept as files of word numbers with the file's distinct words; a word is solved
+once for each file that holds it, so no word, however common, is a hot key, and what is sent
+is a file's distinct words out and their ids back, by number.
 
 ``decode`` turns ids into the text again, exactly: this is the round trip that the query checks.
 
@@ -31,15 +34,18 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _chunks, _words
-from ._common import NO_ID, arrow_schema, documents, partitions
+from ._common import NO_ID, arrow_schema, documents
 
 SIGN = "▁"
 #: At most 61: a word's boundaries are bits of a long.
-LONGEST = 48
+LONGEST = 60
+#: Words of a partition whose edges are grouped.
+GROUPED = 24_000
 #: Pieces that are broadcast at most.
 PIECES = 1 << 18
 UNKNOWN = -1e6
@@ -129,17 +135,17 @@ def escaped(text: str) -> list[str]:
     return WORD.findall(SIGN + text.replace(" ", SIGN)) if text else []
 
 
-def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, ids of distinct words (partitioned by word) of at most ``LONGEST`` code points; -1 - c stands for a code point c without a piece."""
+def lattice(words: DataFrame, pieces: Pieces, keys: list[str] = []) -> DataFrame:
+    """(keys,) word, ids of words (partitioned by the keys' first, or the word) of at most ``LONGEST`` code points; -1 - c stands for a code point c without a piece."""
     spark = words.sparkSession
     table = spark.createDataFrame([(s, i, float(v)) for s, (i, v) in pieces.table.items()], "piece string, id int, score double")
     n = F.length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("s")).select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s") + 1))).alias("k"))
-    edges = spans.select("word", "s", "k", F.substring("word", F.col("s"), F.col("k")).alias("piece")).join(F.broadcast(table), "piece", "left").where("id is not null or k = 1")
+    spans = words.select(*keys, "word", F.explode(F.sequence(F.lit(1), n)).alias("s")).select(*keys, "word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s") + 1))).alias("k"))
+    edges = spans.select(*keys, "word", "s", "k", F.substring("word", F.col("s"), F.col("k")).alias("piece")).join(F.broadcast(table), "piece", "left").where("id is not null or k = 1")
     if pieces.ranked:
-        return merges(edges)
+        return merges(edges, keys)
     edge = F.struct((F.col("s") + F.col("k") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).alias("v"))
-    grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+    grouped = edges.groupBy(*keys, "word").agg(F.collect_list(edge).alias("edges"))
     state = "array<struct<v:double,s:int,id:int>>"
 
     def step(best, e):
@@ -154,14 +160,14 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
         lambda w, _: F.when(w["at"] > 0, F.struct(F.col("best")[w["at"]]["s"].alias("at"), F.concat(F.array(F.col("best")[w["at"]]["id"]), w["ids"]).alias("ids"))).otherwise(w),
         lambda w: w["ids"],
     )
-    return grouped.select("word", "edges").withColumn("best", best).select("word", walk.alias("ids"))
+    return grouped.select(*keys, "word", "edges").withColumn("best", best).select(*keys, "word", walk.alias("ids"))
 
 
-def merges(edges: DataFrame) -> DataFrame:
-    """word, ids by merging in the order of ranks; a set bit i of the fold's state is a boundary before code point i."""
+def merges(edges: DataFrame, keys: list[str] = []) -> DataFrame:
+    """(keys,) word, ids by merging in the order of ranks; a set bit i of the fold's state is a boundary before code point i."""
     ends, inner = F.expr("shiftleft(1L, s - 1) + shiftleft(1L, s + k - 1)"), F.expr("shiftleft(1L, s + k - 1) - shiftleft(1L, s)")
     edge = F.struct((-F.coalesce("score", F.lit(UNKNOWN))).alias("rank"), "s", F.coalesce("id", -1 - F.ascii("piece")).alias("id"), ends.alias("ends"), inner.alias("inner"))
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    grouped = edges.groupBy(*keys, "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
     def step(bits, _):
         joins = F.filter("edges", lambda x: (bits.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bits.bitwiseAND(x["inner"])) == 1))
@@ -170,7 +176,7 @@ def merges(edges: DataFrame) -> DataFrame:
     bits = F.aggregate(F.sequence(F.lit(1), F.length("word")), F.expr("shiftleft(1L, length(word) + 1) - 1"), step)
     left = F.filter("edges", lambda x: (F.col("bits").bitwiseAND(x["ends"]) == x["ends"]) & (F.col("bits").bitwiseAND(x["inner"]) == 0))
     path = F.array_sort(F.transform(left, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
-    return grouped.withColumn("bits", bits).select("word", F.transform(path, lambda x: x["id"]).alias("ids"))
+    return grouped.withColumn("bits", bits).select(*keys, "word", F.transform(path, lambda x: x["id"]).alias("ids"))
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
@@ -178,70 +184,106 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     spark, docs = docs.sparkSession, documents(docs)
 
     def chunk(batches: list[pa.RecordBatch]) -> tuple[dict, int]:
-        texts = pa.concat_arrays([_words.texts_of(b.column("text")) for b in batches])
-        data, at = _words.raw(texts)
-        words = {w for t in texts.to_pylist() for w in escaped(t)}
-        return {"text": data, "at": at, "doc_id": np.concatenate([_chunks.ids_of(b.column("doc_id")) for b in batches]), "words": np.frombuffer("\x00".join(sorted(words)).encode("utf-8"), np.uint8)}, len(words)
+        texts = pa.concat_arrays([_words.texts_of(b.column("text")) for b in batches]).to_pylist()
+        number: dict[str, int] = {}
+        order: list[int] = []
+        count, odd = [], []
+        for t in texts:
+            own = escaped(t)
+            count.append(len(own))
+            order += [number.setdefault(w, len(number)) for w in own]
+            # a sign of the text's own can't be told from a space afterwards
+            odd.append(SIGN in t)
+        words = sorted(number, key=lambda w: (len(w), w))
+        place = np.empty(len(words), np.int64)
+        place[[number[w] for w in words]] = np.arange(len(words))
+        raw = [w.encode() for w in words]
+        check = np.array([xxhash.xxh64_intdigest(t.encode()) for t in texts], np.uint64)
+        index = place[np.array(order, np.int64)] if order else np.zeros(0, np.int64)
+        # three bytes a word: their planes compress better apart
+        planes = {f"i{k}": (index >> (8 * k) & 255).astype(np.uint8) for k in range(4)}
+        return {
+            "doc_id": np.concatenate([_chunks.ids_of(b.column("doc_id")) for b in batches]),
+            "count": np.array(count, np.uint32),
+            "odd": np.array(odd, np.bool_),
+            "check": check,
+            "words": np.frombuffer(b"".join(raw), np.uint8),
+            "size": np.array([len(r) for r in raw], np.uint32),
+        } | planes, len(words)
 
     manifest = _chunks.write(docs, chunk, "pieces")
     files, total = manifest.agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0))).first()
+    pieces = Pieces(model)
+
+    def words_of(f: dict) -> list[str]:
+        at, data = np.append(0, np.cumsum(f["size"].astype(np.int64))).tolist(), f["words"].tobytes()
+        return [data[s:e].decode() for s, e in zip(at, at[1:], strict=False)]
 
     def listed(file, path, blobs, x, y) -> Iterator[dict]:
-        words = _chunks.load(path)["words"].tobytes().decode().split("\x00")
-        for i in range(0, len(words), 100_000):
-            part = [w for w in words[i : i + 100_000] if w]
-            yield {"file": [file] * len(part), "word": part}
-
-    held = _chunks.by_file(manifest, files, None, listed, "file long, word string")
-    parts = max(partitions(spark), total // 200_000)
-    # one task has all files of a word, and the lattice stays in that partitioning
-    of_word = held.repartition(parts, "word").groupBy("word").agg(F.collect_list("file").alias("files"))
-    pieces = Pieces(model)
-    solved = lattice(of_word.where(F.length("word") <= LONGEST).select("word"), pieces)
-    pairs = of_word.join(solved, "word", "left")
+        words = words_of(_chunks.load(path))
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            yield {"file": [file] * len(part), "i": np.arange(i, i + len(part)), "word": part}
+
+    # a partition holds words of one file, few enough that their edges are grouped in memory
+    per = max(1, -(-total // max(1, files) // GROUPED))
+    held = _chunks.by_file(manifest, files, None, listed, "file long, i int, word string")
+    spread = held.withColumn("p", F.expr(f"cast(pmod((file >> 12) + 7919 * (file & 4095), {max(1, files)}) * {per} + i % {per} as int)"))
+    rows = spread.repartitionById(max(1, files) * per, F.col("p"))
+    solved = lattice(rows.where(F.length("word") <= LONGEST), pieces, ["p", "file", "i"])
     arrow = arrow_schema(_chunks.INFO)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own: Pieces | None = None
+        part, own = TaskContext.get().partitionId(), None
         out: dict[int, tuple[list, list]] = {}
         for b in batches:
-            for word, fs, ids in zip(*(b.column(c).to_pylist() for c in ("word", "files", "ids")), strict=True):
-                if ids is None or min(ids) < 0:
+            for file, i, word, ids in zip(*(b.column(c).to_pylist() for c in ("file", "i", "word", "ids")), strict=True):
+                if min(ids) < 0:
+                    # code points without a piece are spelled in bytes
                     own = own or Pieces(model)
-                    # code points without a piece are spelled in bytes, long words are solved here
                     ids = own.viterbi(word)
-                for f in fs:
-                    w, i = out.setdefault(f, ([], []))
-                    w.append(word)
-                    i.append(ids)
-        blobs = [_chunks.pack(w=np.frombuffer("\x00".join(w).encode(), np.uint8), n=np.array([len(x) for x in i], np.uint32), i=np.array([y for x in i for y in x], np.uint32)) for w, i in out.values()]
-        k = len(blobs)
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([TaskContext.get().partitionId()] * k, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=arrow)
-
-    info = pairs.select("word", "files", "ids").mapInArrow(send, _chunks.INFO)
+                where, found = out.setdefault(file, ([], []))
+                where.append(i)
+                found.append(ids)
+        k = len(out)
+        data = []
+        for where, found in out.values():
+            order = np.argsort(where)
+            flat = np.array([y for j in order.tolist() for y in found[j]], np.uint32)
+            data.append(_chunks.pack(w=np.diff(np.array(where, np.int64)[order], prepend=0).astype(np.uint32), n=np.array([len(found[j]) for j in order.tolist()], np.uint16), i=flat.astype(np.uint16) if flat.max(initial=0) < 1 << 16 else flat))
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([part] * k, pa.int32()), pa.array(data, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=arrow)
+
+    info = solved.select("file", "i", "word", "ids").mapInArrow(send, _chunks.INFO)
 
     def put(file, path, blobs, x, y) -> Iterator[dict]:
-        f, own, known = _chunks.load(path), Pieces(model), {}
+        f, own = _chunks.load(path), Pieces(model)
+        words = words_of(f)
+        ids: list[bytes | None] = [None] * len(words)
         for data in blobs.values():
             b = _chunks.unpack(data)
             at = np.append(0, np.cumsum(b["n"].astype(np.int64))) * 4
             raw = b["i"].astype("<u4").tobytes()
-            for w, s, e in zip(b["w"].tobytes().decode().split("\x00"), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                known[w] = raw[s:e]
-        back = {w: b"".join(map(own.back.__getitem__, np.frombuffer(i, "<u4").tolist())) for w, i in known.items()}
-        text, at = f["text"].tobytes(), f["at"].tolist()
+            for w, s, e in zip(np.cumsum(b["w"].astype(np.int64)).tolist(), at.tolist(), at[1:].tolist(), strict=False):
+                ids[w] = raw[s:e]
+        for w, known in enumerate(ids):
+            if known is None:
+                # longer than the lattice's state
+                ids[w] = np.array(own.viterbi(words[w]), "<u4").tobytes()
+        back = [b"".join(map(own.back.__getitem__, np.frombuffer(i, "<u4").tolist())) for i in ids]
+        index = sum(f[f"i{k}"].astype(np.int64) << (8 * k) for k in range(4))
+        at = np.append(0, np.cumsum(f["count"].astype(np.int64))).tolist()
         for a in range(0, len(at) - 1, 1000):
             z = min(len(at) - 1, a + 1000)
-            ids, exact = [], []
+            out, exact = [], []
             for r in range(a, z):
-                t = text[at[r] : at[r + 1]].decode()
-                words = escaped(t)
-                ids.append(b"".join(map(known.__getitem__, words)))
-                exact.append(b"".join(map(back.__getitem__, words)).decode().replace(SIGN, " ")[1:] == t.replace(SIGN, " "))
+                own_words = index[at[r] : at[r + 1]].tolist()
+                out.append(b"".join(map(ids.__getitem__, own_words)))
+                text = b"".join(map(back.__getitem__, own_words)).decode().replace(SIGN, " ")[1:]
+                exact.append(not f["odd"][r] and xxhash.xxh64_intdigest(text.encode()) == f["check"][r])
             d = f["doc_id"][a:z]
-            yield {"doc_id": pa.array(d, mask=d == NO_ID), "n_ids": [len(i) // 4 for i in ids], "ids_crc32": [zlib.crc32(i) for i in ids], "exact": exact, "ids": ids}
+            yield {"doc_id": pa.array(d, mask=d == NO_ID), "n_ids": [len(i) // 4 for i in out], "ids_crc32": [zlib.crc32(i) for i in out], "exact": exact, "ids": out}
 
     return _chunks.by_file(manifest, files, info, put, "doc_id long, n_ids long, ids_crc32 long, exact boolean, ids binary")
 
