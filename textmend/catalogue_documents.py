@@ -253,8 +253,8 @@ def stress_gate(spark, d):
 
 @_query()
 def error_taxonomy(spark, d):
-    own = _ar(spark, d).select("doc_id", "t", D.with_forms(D.with_broken_lam_alef(F.col("t"))).alias("h"))
-    return evaluate.error_kinds(own, "doc_id", "t", "h")
+    own = _turns(spark, d).select("conv_id", "t", D.with_forms(D.with_broken_lam_alef(F.col("t"))).alias("h"))
+    return evaluate.error_kinds(own, "conv_id", "t", "h")
 
 
 @_query("SELECT doc_id, sha256(coalesce(text, '')) AS original_sha256, true AS applied, true AS reverted FROM documents")
