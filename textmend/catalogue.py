@@ -425,7 +425,7 @@ def page_bands(spark, d):
     return layout.bands(layout.extents(_glyphs(spark, d))).select("doc_id", "line", "role")
 
 
-@_query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS line FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, line, len(string_split(s, '|')) AS n_cells FROM l), i AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM c WHERE n_cells >= 2), r AS (SELECT doc_id, min(line) AS first, max(line) AS last, count(*) AS n_lines FROM i GROUP BY doc_id, run) SELECT * FROM r WHERE n_lines >= 3")
+@_query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS line FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, line, len(string_split(s, '|')) AS n_cells FROM l), i AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM c WHERE n_cells >= 2), k AS (SELECT doc_id, run, n_cells, count(*) AS k, min(line) AS f, max(line) AS l FROM i GROUP BY ALL), r AS (SELECT doc_id, min(f) AS first, max(l) AS last, sum(k)::BIGINT AS n_lines, arg_max(n_cells, k * 1000000 - f)::INT AS n_cols FROM k GROUP BY doc_id, run) SELECT * FROM r WHERE n_lines >= 3")
 def table_runs(spark, d):
     lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     return layout.table_runs(lines.select("doc_id", "line", F.size(F.split("s", "\\|")).alias("n_cells")))

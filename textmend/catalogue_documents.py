@@ -297,10 +297,11 @@ def _two_columns(spark, d):
     return both.join(both.groupBy("doc_id").agg((F.max("x") + 100.0).alias("width")), "doc_id")
 
 
-@_query("WITH c AS (" + SQL.get("page_gutters", "") + f"), {_TWO} SELECT p.doc_id, x, y, (dense_rank() OVER (PARTITION BY p.doc_id ORDER BY (SELECT count(*) FROM c WHERE c.doc_id = p.doc_id AND c.cut <= p.x) DESC) - 1)::INT AS column FROM p")
+@_query("WITH c AS (" + SQL["page_gutters"] + f"), {_TWO}, k AS (SELECT p.doc_id, x, count(*) AS n, (SELECT count(*) FROM c WHERE c.doc_id = p.doc_id AND c.cut <= p.x) AS b FROM p GROUP BY p.doc_id, x) SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY b DESC) - 1)::INT AS column, min(x) AS x0, max(x) AS x1, sum(n)::BIGINT AS n FROM k GROUP BY doc_id, b")
 def page_columns(spark, d):
     g = _two_columns(spark, d)
-    return layout.columns(g, layout.gutters(g, F.col("width"))).select("doc_id", "x", "y", "column")
+    own = layout.columns(g, layout.gutters(g, F.col("width")))
+    return own.groupBy("doc_id", "column").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("n"))
 
 
 @_query()
