@@ -23,17 +23,22 @@ def test_gradient():
     ctx = lm.contexts(ids, np.repeat([0, 1], 25))
     assert (ctx[24, lm.SIDE :] == lm._IDS).all() and (ctx[25, : lm.SIDE] == lm._IDS).all() and ctx[10, 0] == ids[9] and ctx[10, lm.SIDE] == ids[11]
     loss = lambda v: -lm.log_probability(lm.split(v), ctx, ids).mean()
-    t = lm.Trainer(flat)
-    t.square[:] = 1e12  # steps are then proportional to the gradient
-    t.step(ctx, ids)
-    grad = ((flat.astype(np.float64) - t.flat) / lm.RATE * 1e6)
     big = flat.astype(np.float64)
-    for k in rng.integers(lm._SIZE - 9000, lm._SIZE, 8):
-        a, b = big.copy(), big.copy()
-        a[k] += 1e-4
-        b[k] -= 1e-4
-        want = (loss(a) - loss(b)) / 2e-4
-        assert abs(want - grad[k]) < 0.05 * max(abs(want), 0.05) + 0.2
+    grad = lm.gradient(big, ctx, ids)
+    at = 0
+    for name, shape in lm._SHAPES.items():
+        n = int(np.prod(shape))
+        # places that the batch touches, of every array
+        own = at + np.flatnonzero(grad[at : at + n])
+        at += n
+        assert len(own), name
+        for k in rng.choice(own, 4):
+            a, b = big.copy(), big.copy()
+            a[k] += 1e-6
+            b[k] -= 1e-6
+            assert grad[k] == pytest.approx((loss(a) - loss(b)) / 2e-6, rel=1e-3, abs=1e-8), name
+    untouched = np.setdiff1d(np.arange(lm._IDS), ctx)[0]
+    assert not grad[untouched * lm.WIDTH : (untouched + 1) * lm.WIDTH].any()
 
 
 def test_words_in_their_order_score_better(spark):
@@ -102,3 +107,14 @@ def test_ids_are_the_librarys(spark):
     assert len(rows) == len(texts)
     for r in rows:
         assert np.frombuffer(r.ids, "<u4").tolist() == lib.encode(texts[r.doc_id] or ""), texts[r.doc_id]
+
+
+def test_odd_texts_round_trip(spark):
+    """U+0000 is a character like any other; a text that holds the sign for a space can't come back exactly, and is told so."""
+    texts = ["a\x00b \x00 c", "a\u2581b", "\u2581", "x" * 200 + " y", "", None, "two  spaces ", "\n\ttab\x1f"]
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    rows = {r.doc_id: r for r in pl.encode(df, MODEL).collect()}
+    back = {r.doc_id: r.text for r in pl.decode(pl.encode(df, MODEL), MODEL).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].exact == ("\u2581" not in (t or "")) and (not rows[i].exact or back[i] == (t or ""))
+    assert pl.encode(df.limit(0), MODEL).count() == 0

@@ -22,9 +22,11 @@ _LIBC = ctypes.CDLL(None)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), a temporary one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="textmend-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)

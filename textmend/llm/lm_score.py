@@ -118,6 +118,27 @@ def _by_id(ids: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(ids, values[:, k], n) for k in range(values.shape[1])], axis=1)
 
 
+def gradient(flat: np.ndarray, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of the mean negative log-probability of ``ids``."""
+    m, n = split(flat), len(ids)
+    x, h, g, hi, lo, d1, d2 = forward(m, ctx, ids)
+    r = np.arange(n)
+    d1[r, hi] -= 1
+    d2[r, lo] -= 1
+    grad = np.empty(_SIZE, flat.dtype)
+    o = split(grad)
+    dg = d2 @ m["v"].T
+    dh = (d1 @ m["u"].T + dg) * (1 - h * h)
+    o["v"][:], o["q"][:] = g.T @ d2, d2.sum(0)
+    o["u"][:], o["p"][:] = h.T @ d1, d1.sum(0)
+    o["c"][:] = _by_id(hi, dg, CLASS)
+    o["w"][:], o["b"][:] = x.T @ dh, dh.sum(0)
+    dx = (dh @ m["w"].T).reshape(-1, WIDTH)
+    o["e"][:] = _by_id(ctx.ravel(), dx, _IDS + 1)
+    grad /= n
+    return grad
+
+
 class Trainer:
     """Adagrad over batches of words."""
 
@@ -127,25 +148,10 @@ class Trainer:
         self.words = 0
 
     def step(self, ctx: np.ndarray, ids: np.ndarray) -> None:
-        m, n = split(self.flat), len(ids)
-        x, h, g, hi, lo, d1, d2 = forward(m, ctx, ids)
-        r = np.arange(n)
-        d1[r, hi] -= 1
-        d2[r, lo] -= 1
-        grad = np.empty(_SIZE, np.float32)
-        o = split(grad)
-        dg = d2 @ m["v"].T
-        dh = (d1 @ m["u"].T + dg) * (1 - h * h)
-        o["v"][:], o["q"][:] = g.T @ d2, d2.sum(0)
-        o["u"][:], o["p"][:] = h.T @ d1, d1.sum(0)
-        o["c"][:] = _by_id(hi, dg, CLASS)
-        o["w"][:], o["b"][:] = x.T @ dh, dh.sum(0)
-        dx = (dh @ m["w"].T).reshape(-1, WIDTH)
-        o["e"][:] = _by_id(ctx.ravel(), dx, _IDS + 1)
-        grad /= n
+        grad = gradient(self.flat, ctx, ids)
         self.square += grad * grad
         self.flat -= RATE * grad / np.sqrt(self.square)
-        self.words += n
+        self.words += len(ids)
 
     def train(self, ctx: np.ndarray, ids: np.ndarray) -> None:
         for i in range(0, len(ids), BATCH):
