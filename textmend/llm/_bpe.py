@@ -20,13 +20,13 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words kept per process; later ones are encoded again when they come.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 1_500_000
 _ODD = re.compile(r" \s| \Z")
 _CUT = re.compile(r" (?=\S)")
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -39,7 +39,7 @@ class Encoder:
         #: Contents of added tokens, which are found before anything is cut: texts that hold one are encoded whole.
         added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
-        self.words: dict[str, bytes] = {}
+        self.kept, self.words = kept, {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         #: Bytes of each token: byte-level vocabularies spell one character per byte.
         self.width = np.zeros(size, dtype=np.int64)
@@ -80,7 +80,7 @@ class Encoder:
         seen.discard(None)
         missing = list(seen.difference(self.words))
         extra = dict(zip(missing, self._words(missing), strict=True))
-        if len(self.words) + len(extra) <= KEPT_WORDS:
+        if len(self.words) + len(extra) <= self.kept:
             self.words.update(extra)
             lookup = self.words
         else:
@@ -89,14 +89,14 @@ class Encoder:
         return [h + b"".join(map(get, p[1:])) for h, p in zip(heads, parts, strict=True)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The process's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, kept: int = KEPT_WORDS) -> Encoder:
+    """The process's encoder for a tokenizer file that keeps so many words."""
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = Encoder(path, kept)
+    return _encoders[path, kept]
 
 
 def groups(texts: list[str], size: int = 2_000_000):

@@ -113,15 +113,15 @@ def padding(fill: int, length: int = LENGTH) -> int:
     return 0 if fill & (fill - 1) == 0 else length - fill
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 0, group: int = GROUP, seed: int = 7, with_ids: bool = True) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, its ids."""
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 0, group: int = GROUP, seed: int = 7, with_ids: bool = True, kept_words: int = _bpe.KEPT_WORDS) -> DataFrame:
+    """A row per piece (a process keeps the ids of ``kept_words`` words): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, its ids."""
     parts = partitions(docs.sparkSession)
     docs = documents(docs).select("doc_id", "text", F.xxhash64("doc_id", F.crc32("text"), F.spark_partition_id(), F.lit(seed)).alias("h"))
     cut = "h long, doc_id long, start long, length long, doc_tokens long, crc long, ids binary"
     cut_schema = arrow_schema(cut)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _bpe.encoder(tokenizer)
+        e = _bpe.encoder(tokenizer, kept_words)
         w = e.dtype.itemsize
         end = np.array([end_id], e.dtype).tobytes()
         for b in batches:
@@ -146,7 +146,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     schema = arrow_schema(ddl)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = _bpe.encoder(tokenizer).dtype
+        dtype = _bpe.encoder(tokenizer, kept_words).dtype
         w, next_id, waiting = dtype.itemsize, None, []
 
         def packed() -> dict:
