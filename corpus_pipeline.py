@@ -19,6 +19,8 @@ from textmend.llm.queries import BYTE_BPE
 
 #: Least score of a language that is believed.
 LEAST_SCORE = 0.3
+#: Words whose ids a process keeps while packing: fewer than when packing runs alone, as earlier stages have filled the heap.
+KEPT_WORDS = 400_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, BYTE_BPE, end_id=0, with_ids=False)
+    return packing.pack_documents(docs, BYTE_BPE, end_id=0, with_ids=False, kept_words=KEPT_WORDS)
 
 
 STAGES: list = [("language_id", language), ("quality_rules", quality), ("jaccard_join", near_duplicates), ("substring_dedup", substrings), ("packing", packed)]
