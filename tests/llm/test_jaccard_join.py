@@ -66,6 +66,52 @@ def test_as_by_brute_force(spark, monkeypatch, block):
     assert sorted(map(tuple, jj.similar(df).collect()), key=str) == brute(rows)
 
 
+def test_a_cluster_of_near_copies_is_not_sent_as_pairs(spark, monkeypatch):
+    """Candidate links are few however large a cluster is, and all of its links are counted."""
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rnd.randint(1, 12)):
+            w[rnd.randrange(300)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(i + 1000, t) for i, t in rows_of(60, 8)]
+    sent, by_part = [], jj._chunks.by_part
+
+    def seen(blobs, parts, fn, schema):
+        if fn.__name__ == "linked":
+            sent.append(sum(len(jj._chunks.unpack(r.data)["a"]) for r in blobs.select("data").collect()))
+        return by_part(blobs, parts, fn, schema)
+
+    monkeypatch.setattr(jj._chunks, "by_part", seen)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jj.similar(df).collect()), key=str) == brute(rows)
+    assert len(sent) == 1 and sent[0] < 5000
+
+
+def test_pieces_of_candidate_links(spark, monkeypatch):
+    """The same links, whether candidates are sent at once or in small pieces, and blocks are cut by their shingles."""
+    monkeypatch.setattr(jj, "PAIRS", 50)
+    monkeypatch.setattr(jj, "HELD", 150)
+    monkeypatch.setattr(jj, "BLOCK_SHINGLES", 200)
+    rows = rows_of(80, 21)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jj.similar(df).collect()), key=str) == brute(rows)
+
+
+def test_bands():
+    """Near copies agree on a band, other sets don't, and small sets have none."""
+    rnd = np.random.default_rng(6)
+    base = rnd.integers(0, 2**48, 500, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([rnd.permutation(base)[:480], rnd.integers(0, 2**48, 10, dtype=np.uint64)])) for _ in range(6)]
+    sets += [np.sort(rnd.integers(0, 2**48, n, dtype=np.uint64)) for n in (500, 500, 3, 1)] + [np.zeros(0, np.uint64)]
+    got = jj.bands(np.concatenate(sets), np.array([len(s) for s in sets]))
+    agree = [[bool(((a == b) & (a > 0)).any()) for b in got] for a in got]
+    assert all(all(x[:6]) for x in agree[:6]) and not any(any(x[6:]) for x in agree[:6])
+    assert not agree[6][7] and (got[8:] == 0).all()
+
+
 @pytest.mark.parametrize("parts", [48, 7])
 def test_parts_whose_edges_are_no_round_numbers(spark, monkeypatch, parts):
     """A shingle's size classes stay together, so one that two sets of neighbouring classes share isn't taken for unique."""

@@ -9,18 +9,24 @@ How: (1) sets are written to files, classes are formed by two 64-bit sums over
 each set; (2) every shingle's document frequency, combined per file, is counted
 over all representatives, in all and in the sets near enough in size (classes
 of sizes a factor 1 / t apart, and their neighbours): a shingle that no other
-such set has is never sent; (3) in the order of rising frequency the first
+such set has is never sent; (3) sets that agree on a band of least hashes are
+one node: their links needn't be searched for, as they are brought together
+anyway, and a cluster of near copies costs a list one entry and not a pair for
+every two of its sets; (4) in the order of rising frequency the first
 ``n - ceil(t * n) + l`` shingles of a set are its prefix, where ``l`` is
 ``1 + n // EXTRA``: alike sets share ``l`` of them, so lists of the prefixes'
-shingles, length and place filters, and a count over all lists leave few
-candidate links; (4) documents that candidate links connect are brought
+shingles by node, a length filter, and a count over all lists leave few
+candidate links between nodes, and lose none: two nodes share all that two of
+their sets do; (5) documents that candidate links connect are brought
 together, and there a T-occurrence search with DivideSkip finds the sets that
 reach the overlap: short inverted lists are merged and counted, the long ones
-are only probed by binary search for what the short ones left; (5) links are
+are only probed by binary search for what the short ones left; (6) links are
 counted by class sizes and components follow from spanning links.
 
-Groups are bounded: a connected group of more than ``BLOCK`` sets is searched
-in pairs of blocks.  All steps are exact; nothing is capped.
+Groups are bounded: a connected group of more than ``BLOCK`` sets, or of more
+than ``BLOCK_SHINGLES`` shingles, is searched in pairs of blocks, whose links
+are counted set by set and never held; candidate links are sent on in pieces of
+``HELD``.  All steps are exact; nothing is capped.
 
 Cases: a null text is an empty one, linked with nothing and a component by
 itself; repeated rows are one class and count each other; a null ``doc_id`` is
@@ -46,8 +52,12 @@ from ._common import NO_ID, documents, partitions, stored
 PERCENT, SHINGLE = 60, 2
 #: A prefix is longer by one shingle for so many of the set, and that many more must be shared.
 EXTRA = 32
-#: Sets that are searched together.
-BLOCK = 2048
+#: Sets, and their shingles, that are searched together.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Pairs of a list, and candidate links of a task, that are held at once.
+PAIRS, HELD = 500_000, 1_500_000
+#: Bands of so many least hashes (at most 64 hashes in all), and how many of a band's a set must have.
+BANDS, BAND, LEAST = 8, 8, 4
 #: DivideSkip's weight of merging against probing.
 MU = 0.05
 _SALT = np.uint64(0xA5A5_1234_9E37_79B9)
@@ -130,6 +140,25 @@ def signature(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
+def bands(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each set ``BANDS`` hashes of the least shingles of ``BAND`` classes (by their low bits); 0 where it has fewer than ``LEAST``."""
+    n, row = len(size), np.repeat(np.arange(len(size), dtype=np.uint32), size)
+    low = (hashes & np.uint64(63)).astype(np.uint8)
+    out = np.zeros((n, BANDS), np.uint64)
+    for b in range(BANDS):
+        have = np.zeros(n, np.int64)
+        for k in range(BAND * b, BAND * (b + 1)):
+            at = np.flatnonzero(low == k)
+            r = row[at]
+            first = np.ones(len(at), dtype=bool)
+            first[1:] = r[1:] != r[:-1]
+            own = r[first]
+            out[own, b] += _words.mix(hashes[at[first]] ^ _SALT)
+            have[own] += 1
+        out[have < LEAST, b] = 0
+    return out
+
+
 class Forest:
     """Union-find over numbers; ``edges`` is a spanning star of each group of two or more."""
 
@@ -159,7 +188,15 @@ class Forest:
 
 
 def alike(group: list[np.ndarray], side: np.ndarray | None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j) of sets that are alike; with ``side``, only pairs of different sides.
+    """All pairs (i, j) of sets that are alike; with ``side``, only pairs of different sides."""
+    found = [(ok, np.full(len(ok), i)) for i, ok in links(group, side, percent)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def links(group: list[np.ndarray], side: np.ndarray | None, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, the sets before i that are alike) for sets i that have some; with ``side``, only those of another side.
 
     T-occurrence by DivideSkip: a set's shingles name inverted lists over the group. The longest L of them, with
     L = T / (MU * log2(longest) + 1), are set aside; the others are merged and counted, those that reach T - L
@@ -179,7 +216,7 @@ def alike(group: list[np.ndarray], side: np.ndarray | None, percent: int = PERCE
     lists_of[order] = number
     at = np.append(0, np.cumsum(size))
     postings = number * len(group) + owner  # ascending: one binary search probes any list
-    left, right = [], []
+    del every, new, order, number
     for i in range(len(group)):
         own = lists_of[at[i] : at[i + 1]]
         n = length[own]
@@ -206,17 +243,15 @@ def alike(group: list[np.ndarray], side: np.ndarray | None, percent: int = PERCE
         if len(found) == 0:
             continue
         overlap = count[found]
-        if len(long):
-            probe = (long[:, None] * len(group) + found[None, :]).ravel()
+        step = max(1, PAIRS // len(found))
+        for k in range(0, len(long), step):
+            probe = (long[k : k + step, None] * len(group) + found[None, :]).ravel()
             where = np.searchsorted(postings, probe)
             where[where == len(postings)] = 0
-            overlap = overlap + (postings[where] == probe).reshape(len(long), -1).sum(axis=0)
+            overlap = overlap + (postings[where] == probe).reshape(-1, len(found)).sum(axis=0)
         ok = found[100 * overlap >= percent * (size[i] + size[found] - overlap)]
-        left.append(ok)
-        right.append(np.full(len(ok), i))
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+        if len(ok):
+            yield i, ok
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -261,7 +296,7 @@ def _store(docs: DataFrame, n: int, keep_rows: bool) -> tuple[DataFrame, int, in
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         size = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         s, t = signature(h, np.append(0, np.cumsum(size)))
-        out = {"h": _chunks.narrow(h), "size": size.astype(np.uint32), "s": s, "t": t}
+        out = {"h": _chunks.narrow(h), "size": size.astype(np.uint32), "s": s, "t": t, "bands": bands(h, size).ravel()}
         if keep_rows:
             sink = pa.BufferOutputStream()
             whole = pa.Table.from_batches(batches)
@@ -294,6 +329,36 @@ def _search(manifest: DataFrame, files: int, total: int, percent: int) -> DataFr
     classes = stored(members.where("n > 0").groupBy("s", "t", "n").agg(F.min("idx").alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least")), "classes")
     reps = _as_info(classes, f"shiftright(rep, 24)", f"rep & {_chunks.ROWS - 1}", "copies")
 
+    def banded(file, path, blobs, x, y) -> Iterator[dict]:
+        """Of every band (values by part), which rows have it."""
+        rows = np.sort(x)
+        v = _chunks.load(path)["bands"].reshape(-1, BANDS)[rows].ravel()
+        row = np.repeat(rows, BANDS)[v > 0].astype(np.uint32)
+        v = v[v > 0]
+        order = np.argsort(v, kind="stable")
+        v, row = v[order], row[order]
+        at = _chunks.cuts(v, parts, 64)
+        on = [p for p in range(parts) if at[p] < at[p + 1]]
+        yield {"part": on, "file": [file] * len(on), "data": [_chunks.pack(v=_chunks.deltas(v[at[p] : at[p + 1]]), i=row[at[p] : at[p + 1]]) for p in on]}
+
+    def agreed(part: int, files: list[int], data: list[dict]) -> Iterator[dict]:
+        v = np.concatenate([_chunks.undeltas(d["v"]) for d in data])
+        i = np.concatenate([f * _chunks.ROWS + d["i"].astype(np.int64) for f, d in zip(files, data, strict=True)])
+        order = np.lexsort((i, v))
+        v, i = v[order], i[order]
+        new = np.ones(len(v), dtype=bool)
+        new[1:] = v[1:] != v[:-1]
+        least = i[np.flatnonzero(new)][np.cumsum(new) - 1]
+        forest = Forest()
+        for a, b in zip(i[~new].tolist(), least[~new].tolist(), strict=True):
+            forest.join(a, b)
+        a, b = forest.edges()
+        yield {"a": a, "b": b}
+
+    nodes = stored(components(_chunks.by_part(_chunks.by_file(manifest, files, reps, banded, _chunks.BLOB), parts, agreed, "a long, b long")), "nodes")
+    by_node = classes.select("rep").join(nodes.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("node"))
+    by_node = _as_info(by_node, "shiftright(rep, 24)", f"rep & {_chunks.ROWS - 1}", "node")
+
     def own_sets(path: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         f = _chunks.load(path)
         size = f["size"].astype(np.int64)
@@ -309,68 +374,70 @@ def _search(manifest: DataFrame, files: int, total: int, percent: int) -> DataFr
     known = _chunks.by_part(_chunks.by_file(manifest, files, reps, frequencies, _chunks.BLOB), parts, _frequent, _chunks.INFO)
 
     def prefixes(file, path, blobs, x, y) -> Iterator[dict]:
-        rows = np.sort(x)
+        order = np.argsort(x)
+        rows, node = x[order], y[order]
         h, size = own_sets(path, rows)
-        row = np.repeat(np.arange(len(size)), size)
+        row = np.repeat(np.arange(len(size), dtype=np.int32), size)
         v, number = np.unique(_keys(h, size_class(size, percent)[row]), return_inverse=True)
         known = _chunks.levels(blobs)[number] if len(v) else np.zeros(0, np.uint8)
-        level, near = known & 31, known > 31
-        order = np.lexsort((h, level, row))
-        h, near = h[order], near[order]
+        del v, number
+        order = np.lexsort((h, known & 31, row))
+        h, near = h[order], known[order] > 31
+        del order, known
         place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
         longest = size - least_overlap(size, percent) + 1 + size // EXTRA
         use = (place < longest[row]) & near
-        h, row, place = h[use], row[use], place[use]
-        order = np.argsort(h, kind="stable")
-        h, row, place = h[order], row[order], place[order]
+        h, row = h[use], row[use]
+        h, i, lo, hi = _by_node(h, node[row], size[row], size[row])
         at = _chunks.cuts(h, parts, 48)
-        own, n = rows[row].astype(np.uint32), size[row].astype(np.uint32)
+        # a node is named by its least set
+        f, r = (i >> 24).astype(np.uint32), (i & (_chunks.ROWS - 1)).astype(np.uint32)
+        lo, more = lo.astype(np.uint32), (hi - lo).astype(np.uint32)
         on = [p for p in range(parts) if at[p] < at[p + 1]]
-        yield {"part": on, "file": [file] * len(on), "data": [_chunks.pack(h=_chunks.deltas(h[at[p] : at[p + 1]]), i=own[at[p] : at[p + 1]], n=n[at[p] : at[p + 1]], k=place[at[p] : at[p + 1]].astype(np.uint32)) for p in on]}
+        yield {"part": on, "file": [file] * len(on), "data": [_chunks.pack(h=_chunks.deltas(h[(s := slice(at[p], at[p + 1]))]), f=f[s], r=r[s], n=lo[s], m=more[s]) for p in on]}
 
-    lists = _chunks.by_file(manifest, files, reps.union(known), prefixes, _chunks.BLOB)
+    lists = _chunks.by_file(manifest, files, by_node.union(known), prefixes, _chunks.BLOB)
 
     def shared(part: int, files: list[int], data: list[dict]) -> Iterator[dict]:
         """Links from the lists of a range of shingles: (a, b, how many they share here, how many they must)."""
         h = np.concatenate([_chunks.undeltas(d["h"]) for d in data])
-        i = np.concatenate([f * _chunks.ROWS + d["i"].astype(np.int64) for f, d in zip(files, data, strict=True)])
-        n, k = (np.concatenate([d[c] for d in data]) for c in "nk")
-        n, k = n.astype(np.int64), k.astype(np.int64)
-        order = np.lexsort((n, h))
-        h, i, n, k = h[order], i[order], n[order], k[order]
+        f, r, lo, more = (np.concatenate([d[c] for d in data]).astype(np.int64) for c in "frnm")
+        h, i, lo, hi = _by_node(h, (f << 24) | r, lo, lo + more)
+        order = np.lexsort((lo, h))
+        h, i, lo, hi = h[order], i[order], lo[order], hi[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = h[1:] != h[:-1]
         end = np.append(np.flatnonzero(new)[1:], len(h))[np.cumsum(new) - 1]
         # partners follow in the list, as long as their sets aren't too large
-        code = (np.cumsum(new) << 32) + n
-        last = np.minimum(end, np.searchsorted(code, (code >> 32 << 32) + n * 100 // percent, side="right"))
+        code = (np.cumsum(new) << 32) + lo
+        last = np.minimum(end, np.searchsorted(code, (code >> 32 << 32) + hi * 100 // percent, side="right"))
         partners = last - np.arange(len(h)) - 1
-        got: list[tuple] = []
+        del code, last, end, new
         edge = np.append(0, np.cumsum(partners))
+
+        def sent(a: np.ndarray, b: np.ndarray, c: np.ndarray, need: np.ndarray) -> dict:
+            to = (_words.mix(a.astype(np.uint64) ^ _words.mix(b.astype(np.uint64))) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            a, b, c, need, to = a[order], b[order], c[order], need[order], to[order]
+            at = np.searchsorted(to, np.arange(parts + 1))
+            on = [p for p in range(parts) if at[p] < at[p + 1]]
+            return {"part": on, "file": [part] * len(on), "data": [_chunks.pack(a=np.diff(a[(s := slice(at[p], at[p + 1]))], prepend=0), f=b[s] >> 24, r=(b[s] & (_chunks.ROWS - 1)).astype(np.uint32), c=c[s].astype(np.uint32), m=need[s].astype(np.uint32)) for p in on]}
+
+        held: list[tuple] = []
         u = 0
         while u < len(h):
-            v = max(u + 1, int(np.searchsorted(edge, edge[u] + 1_000_000, side="right")) - 1)
+            v = max(u + 1, int(np.searchsorted(edge, edge[u] + PAIRS, side="right")) - 1)
             m = partners[u:v]
             a = np.repeat(np.arange(u, v), m)
             b = a + 1 + np.arange(len(a)) - np.repeat(edge[u:v] - edge[u], m)
             u = v
-            most = np.minimum(k[a], k[b]) + np.minimum(n[a] - k[a], n[b] - k[b])
-            ok = (100 + percent) * most >= percent * (n[a] + n[b])
-            a, b = a[ok], b[ok]
-            lo, hi = np.minimum(i[a], i[b]), np.maximum(i[a], i[b])
-            need = 1 + np.minimum(n[a], n[b]) // EXTRA
-            got.append(_summed(lo, hi, np.ones(len(lo), np.int64), need))
-            if len(got) > 8:
-                got = [_summed(*(np.concatenate(c) for c in zip(*got, strict=True)))]
-        lo, hi, c, need = _summed(*(np.concatenate(c) for c in zip(*got, strict=True)))
-        if len(lo) == 0:
-            return
-        to = (_words.mix(lo.astype(np.uint64) ^ _words.mix(hi.astype(np.uint64))) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        lo, hi, c, need, to = lo[order], hi[order], c[order], need[order], to[order]
-        at = np.searchsorted(to, np.arange(parts + 1))
-        on = [p for p in range(parts) if at[p] < at[p + 1]]
-        yield {"part": on, "file": [part] * len(on), "data": [_chunks.pack(a=np.diff(lo[(s := slice(at[p], at[p + 1]))], prepend=0), f=hi[s] >> 24, r=(hi[s] & (_chunks.ROWS - 1)).astype(np.uint32), c=c[s].astype(np.uint32), m=need[s].astype(np.uint32)) for p in on]}
+            held.append(_summed(np.minimum(i[a], i[b]), np.maximum(i[a], i[b]), np.ones(len(a), np.int64), 1 + lo[a] // EXTRA))
+            if sum(len(x[0]) for x in held) > HELD:
+                held = [_summed(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+                if len(held[0][0]) > HELD // 2:
+                    yield sent(*held.pop())
+        if held:
+            yield sent(*_summed(*(np.concatenate(c) for c in zip(*held, strict=True))))
 
     def linked(part: int, _, data: list[dict]) -> Iterator[dict]:
         a = np.concatenate([np.cumsum(d["a"]) for d in data])
@@ -384,10 +451,11 @@ def _search(manifest: DataFrame, files: int, total: int, percent: int) -> DataFr
         yield {"a": s, "b": t}
 
     candidates = stored(_chunks.by_part(_chunks.by_part(lists, parts, shared, _chunks.BLOB), parts, linked, "a long, b long"), "candidates")
-    groups = stored(components(candidates), "groups")
-    sizes = groups.groupBy("comp").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = groups.join(sizes, "comp").join(classes.select(F.col("rep").alias("id"), "copies"), "id").select("id", "comp", "copies", blocks.alias("k"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    groups = stored(components(candidates.union(nodes.select("id", "comp"))), "groups")
+    groups = groups.join(classes.select(F.col("rep").alias("id"), "copies", "n"), "id")
+    sizes = groups.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    placed = groups.join(sizes, "comp").select("id", "comp", "copies", blocks.alias("k"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
     placed = stored(placed, "placed")
 
     def gather(file, path, blobs, x, y) -> Iterator[dict]:
@@ -415,13 +483,16 @@ def _search(manifest: DataFrame, files: int, total: int, percent: int) -> DataFr
             ids = np.array([r[0] for r in held])
             copies = np.array([r[1] for r in held])
             side = np.array([r[2] for r in held]) if at[1] != at[2] else None
-            a, b = alike([_chunks.widen(np.frombuffer(r[3], np.uint8)) for r in held], side, percent)
-            similar = np.bincount(a, copies[b], len(held)) + np.bincount(b, copies[a], len(held))
-            forest = Forest()
-            for s, t in zip(ids[a].tolist(), ids[b].tolist(), strict=True):
-                forest.join(s, t)
+            similar, least = np.zeros(len(held), np.int64), ids.copy()
+            for i, ok in links([_chunks.widen(np.frombuffer(r[3], np.uint8)) for r in held], side, percent):
+                similar[i] += copies[ok].sum()
+                similar[ok] += copies[i]
+                # a component goes by its least id
+                joined = np.unique(np.append(least[ok], least[i]))
+                if len(joined) > 1:
+                    least[np.isin(least, joined)] = joined[0]
             on = np.flatnonzero(similar > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(similar[on].astype(np.int64)), pa.array([forest.root(x) for x in ids[on].tolist()], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(similar[on]), pa.array(least[on])], schema=schema)
 
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in ("comp", "u", "v", "id", "copies", "block", "h")), strict=True):
@@ -439,8 +510,20 @@ def _search(manifest: DataFrame, files: int, total: int, percent: int) -> DataFr
     return members.join(full, ["s", "t", "n"], "left").select("idx", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _by_node(h: np.ndarray, node: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple:
+    """A node's entries for a shingle made one, with its least and largest size, in the order of shingles."""
+    if len(h) == 0:
+        return h, node, lo, hi
+    order = np.lexsort((node, h))
+    h, node, lo, hi = h[order], node[order], lo[order], hi[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+    at = np.flatnonzero(new)
+    return h[at], node[at], np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)
+
+
 def _summed(a: np.ndarray, b: np.ndarray, c: np.ndarray, need: np.ndarray) -> tuple:
-    """Equal (a, b) made one, with the sum of c."""
+    """Equal (a, b) made one, with the sum of c and the least need."""
     if len(a) == 0:
         return a, b, c, need
     order = np.lexsort((b, a))
@@ -448,7 +531,7 @@ def _summed(a: np.ndarray, b: np.ndarray, c: np.ndarray, need: np.ndarray) -> tu
     new = np.ones(len(a), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     at = np.flatnonzero(new)
-    return a[at], b[at], np.add.reduceat(c, at), need[at]
+    return a[at], b[at], np.add.reduceat(c, at), np.minimum.reduceat(need, at)
 
 
 def similar(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
