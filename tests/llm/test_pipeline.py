@@ -51,3 +51,25 @@ def test_awkward_rows_and_an_empty_table(spark, awkward, nothing):
         none = cp.stored(stage(spark, none, SF), name)
     assert none.count() == 0 and cp.STAGES[-1][1](spark, none, SF).count() == 0
     assert cp.STAGES[0][1](spark, nothing, SF).count() == 0
+
+
+def test_a_large_cluster_costs_near_duplicates_few_candidate_links(spark, monkeypatch):
+    """Of a cluster of near copies one stays, and its pairs are not held as candidates."""
+    rows = []
+    for i in range(200):
+        w = [f"w{j}" for j in range(200)]
+        for k in range(5):
+            w[(37 * i + 41 * k) % 200] = f"x{i}y{k}"
+        rows.append((i, " ".join(w), "en"))
+    rows += [(500 + i, " ".join(f"z{i}q{j}" for j in range(50)), "en") for i in range(5)]
+    sent, by_part = [], cp.jaccard_join._chunks.by_part
+
+    def seen(blobs, parts, fn, schema):
+        if fn.__name__ == "linked":
+            sent.append(sum(len(cp.jaccard_join._chunks.unpack(r.data)["a"]) for r in blobs.select("data").collect()))
+        return by_part(blobs, parts, fn, schema)
+
+    monkeypatch.setattr(cp.jaccard_join._chunks, "by_part", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert sorted(r.doc_id for r in cp.near_duplicates(spark, docs, SF).collect()) == [0, 500, 501, 502, 503, 504]
+    assert len(sent) == 1 and sent[0] < 2000
