@@ -32,6 +32,18 @@ def test_cutting_at_spaces_gives_the_ids_of_the_whole(text):
     assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == T.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_encoded_without_offsets():
+    """Only the call that leaves offsets out is needed, and it gives the library's ids."""
+
+    class WithoutOffsets:
+        encode_batch_fast = T.encode_batch_fast
+
+    e = _bpe.Encoder(BYTE_BPE)
+    e.tokenizer = WithoutOffsets()
+    texts = [t or "" for _, t, _ in AWKWARD] + [" ".join(f"w{i}'s é{i}" for i in range(3000))]
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [T.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_store_round_trip(spark, awkward):
     store = token_store.write_tokens(awkward, BYTE_BPE, shard_documents=4)
     rows = store.read().collect()

@@ -58,7 +58,7 @@ class Encoder:
         out: list[bytes] = []
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            ids = np.frombuffer(self._encode([" " + " ".join(part)])[0], self.dtype)
             at = np.flatnonzero(self.leads[ids]).tolist()
             if len(at) != len(part) or at[0] != 0:
                 out += self._encode([" " + w for w in part])
