@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import zlib
 from collections import defaultdict
 
@@ -44,6 +45,45 @@ def test_words_are_encoded_without_offsets():
     assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [T.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+LETTERS = [*"abcdefghijklmnoprstuvwxyzAEé", "\u00df", "\u0436", "\u7684", "\u0639"]
+
+
+def test_merging_many_words_at_once_gives_the_ids_of_the_library():
+    e, rnd = _bpe.Encoder(BYTE_BPE), random.Random(5)
+    words = sorted({"".join(rnd.choices(LETTERS, k=rnd.randint(1, _bpe.LONGEST))) for _ in range(3000)} | {"a" * n for n in range(1, 41)}, key=len)
+    got = e._letters(words)
+    assert [np.frombuffer(x, e.dtype).tolist() for x in got] == [x.ids for x in T.encode_batch([" " + w for w in words], add_special_tokens=False)]
+
+
+def test_words_that_differ_in_their_ending_are_merged_once():
+    """op1: the library gets the first word of a text and the endings, and not every word with every ending."""
+    given = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return T.encode_batch_fast(texts, **more)
+
+    e, rnd = _bpe.Encoder(BYTE_BPE), random.Random(6)
+    e.tokenizer = Counting()
+    words = ["".join(rnd.choices(LETTERS, k=9)) for _ in range(2000)]
+    text = "x " + " ".join(w + t for w in words for t in ("", ".", ",\n", "'s", "\u0e01", "_1"))
+    assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == T.encode(text, add_special_tokens=False).ids
+    # words before a letter outside the known ones go to the library whole
+    assert sum(map(len, given)) < 2000 * 11 + 100
+
+
+def test_kept_words_are_bounded():
+    """op8: a process that meets ever new words keeps less than 100 MB of them, and its ids stay right."""
+    e = _bpe.Encoder(BYTE_BPE)
+    for k in range(9):
+        e.encode(["x " + " ".join("".join(chr(97 + (n // 26**d) % 26) for d in range(5)) for n in range(k * 50_000, (k + 1) * 50_000))])
+    size = sum(sys.getsizeof(d) + sum(sys.getsizeof(w) + sys.getsizeof(x) for w, x in d.items()) for d in (e.words, e.tails))
+    assert len(e.words) <= 400_000 and size < 100_000_000
+    text = "x zzzzz aaaaa, zzzzz.\n again"
+    assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == T.encode(text, add_special_tokens=False).ids
+
+
 def test_store_round_trip(spark, awkward):
     store = token_store.write_tokens(awkward, BYTE_BPE, shard_documents=4)
     rows = store.read().collect()
