@@ -421,7 +421,7 @@ def _search(manifest: DataFrame, files: int, total: int, percent: int) -> DataFr
             a, b, c, need, to = a[order], b[order], c[order], need[order], to[order]
             at = np.searchsorted(to, np.arange(parts + 1))
             on = [p for p in range(parts) if at[p] < at[p + 1]]
-            return {"part": on, "file": [part] * len(on), "data": [_chunks.pack(a=np.diff(a[(s := slice(at[p], at[p + 1]))], prepend=0), f=b[s] >> 24, r=(b[s] & (_chunks.ROWS - 1)).astype(np.uint32), c=c[s].astype(np.uint32), m=need[s].astype(np.uint32)) for p in on]}
+            return {"part": on, "file": [part] * len(on), "data": [_chunks.pack(a=np.diff(a[(s := slice(at[p], at[p + 1]))], prepend=0), f=(b[s] >> 24).astype(np.uint32), r=(b[s] & (_chunks.ROWS - 1)).astype(np.uint32), c=c[s].astype(np.uint32), m=need[s].astype(np.uint32)) for p in on]}
 
         held: list[tuple] = []
         u = 0
@@ -440,13 +440,10 @@ def _search(manifest: DataFrame, files: int, total: int, percent: int) -> DataFr
             yield sent(*_summed(*(np.concatenate(c) for c in zip(*held, strict=True))))
 
     def linked(part: int, _, data: list[dict]) -> Iterator[dict]:
-        a = np.concatenate([np.cumsum(d["a"]) for d in data])
-        f, r, c, need = (np.concatenate([d[x] for d in data]).astype(np.int64) for x in "frcm")
-        a, b, c, need = _summed(a, (f << 24) | r, c, need)
-        ok = c >= need
         forest = Forest()
-        for s, t in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
-            forest.join(s, t)
+        for a, b in _reached(data):
+            for s, t in zip(a.tolist(), b.tolist(), strict=True):
+                forest.join(s, t)
         s, t = forest.edges()
         yield {"a": s, "b": t}
 
@@ -534,6 +531,37 @@ def _summed(a: np.ndarray, b: np.ndarray, c: np.ndarray, need: np.ndarray) -> tu
     return a[at], b[at], np.add.reduceat(c, at), np.minimum.reduceat(need, at)
 
 
+def _reached(data: list[dict], held: int = HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate links (a, b) that share as much as they must, over all blobs of a part.
+
+    How many links a part gets grows with the lists, faster than the input, so they stay in the blobs' narrow
+    columns and only those of a range of a, about ``held``, are widened and summed up at a time.
+    """
+    total = 0
+    for d in data:
+        # ascending within a blob
+        d["a"] = np.cumsum(d["a"])
+        total += len(d["a"])
+    if total == 0:
+        return
+    # edges between ranges: every so many links of each blob, weighed by how many they stand for
+    step = max(1, held // (8 * len(data)))
+    marks = np.concatenate([d["a"][step - 1 :: step] for d in data])
+    marks.sort()
+    edges = np.unique(marks[max(1, held // step) - 1 :: max(1, held // step)])
+    begin = [0] * len(data)
+    for edge in [*edges.tolist(), None]:
+        end = [len(d["a"]) if edge is None else int(np.searchsorted(d["a"], edge, side="right")) for d in data]
+        part = [(d, slice(i, j)) for d, i, j in zip(data, begin, end, strict=True) if i < j]
+        begin = end
+        if part:
+            a = np.concatenate([d["a"][s] for d, s in part])
+            f, r, c, need = (np.concatenate([d[x][s] for d, s in part]).astype(np.int64) for x in "frcm")
+            a, b, c, need = _summed(a, (f << 24) | r, c, need)
+            ok = c >= need
+            yield a[ok], b[ok]
+
+
 def similar(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, n_similar (other documents linked directly), component_id (least doc_id reachable)."""
     manifest, files, total = _store(documents(docs), n, keep_rows=False)
