@@ -118,3 +118,36 @@ def test_odd_texts_round_trip(spark):
     for i, t in enumerate(texts):
         assert rows[i].exact == ("\u2581" not in (t or "")) and (not rows[i].exact or back[i] == (t or ""))
     assert pl.encode(df.limit(0), MODEL).count() == 0
+
+
+def test_words_are_joined_many_at_once_without_an_exchange(spark):
+    """op7: ids are the relational lattice's and the library's, a word that comes again is not solved again, and no row is shuffled."""
+    import sentencepiece
+
+    rnd, m = random.Random(9), pl.Merging(MODEL)
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ["".join(rnd.choices("abdeéilnorstu  \nก的.\x00" + pl.SIGN, k=rnd.randrange(200))) for _ in range(300)] + ["z" * 500 + " z", "a" * 23 + " " + "a" * 24, ""]
+    words = sorted({w for t in texts for w in pl.escaped(t) if len(w) <= pl.LONGEST})
+    df = spark.createDataFrame([(w,) for w in words], "word string").repartition(2)
+    folded = {r.word: [j for i in r.ids for j in ([i] if i >= 0 else m.pieces.of_char(chr(-1 - i)))] for r in pl.lattice(df, m.pieces).collect()}
+    # few slots: words are driven out, the table is emptied, and ids stay right
+    m.kept = pl._kept.Kept(16, np.dtype("<u4"))
+    for part in (texts, texts[::-1], texts[:50]):
+        flat, counts, exact = m.encode(part)
+        ids = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+        assert ids == [lib.encode(t) for t in part] and exact.tolist() == [pl.SIGN not in t for t in part]
+    assert all(x == [j for w in pl.escaped(t) for j in folded[w]] for t, x in zip(part, ids, strict=True) if max(map(len, pl.escaped(t)), default=0) <= pl.LONGEST)
+    again, solved = pl.Merging(MODEL), []
+    inner = again.ranked.ids
+    again.ranked.ids = lambda data, start, size: (solved.append(len(start)), inner(data, start, size))[1]
+    for _ in range(3):
+        again.encode([" ".join(f"w{i}" for i in range(500))] * 2)
+    assert sum(solved) < 600
+    plan = pl.encode(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), MODEL)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+
+
+def test_the_relational_lattice_gives_the_same_rows(spark, awkward):
+    """The way of unigram models, with a BPE model."""
+    rows = [sorted(map(str, f(awkward, MODEL).collect())) for f in (pl.encode_lattice, pl.encode_arrays)]
+    assert rows[0] == rows[1] and len(rows[0]) == len(AWKWARD)
