@@ -84,6 +84,38 @@ def test_kept_words_are_bounded():
     assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == T.encode(text, add_special_tokens=False).ids
 
 
+ODD = [*"abzZé \n\t's'trevmd.,|-(0129\x00\x1c\x7f\x85\xa0 😀ก́ſßжǅ的ー가٠²ªº×÷­", "  ", "\n\n", " \n", "\n ", "'ll ", "'re", "\r\n", " a", " b ", "foo", "a" * 23, "<|endoftext|>", "\ufeff", "\u200b", "\u3000"]
+
+
+def test_segments_give_the_ids_of_the_whole_with_few_slots():
+    """op1, op8: wherever a text is cut, and with segments that drive each other out, its ids are the library's."""
+    e, rnd = _bpe.Encoder(BYTE_BPE, 256), random.Random(7)
+    for n in [20] * 100 + [500, 20]:
+        texts = ["".join(rnd.choices(ODD, k=rnd.randrange(60))) for _ in range(n)]
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [x.ids for x in T.encode_batch(texts, add_special_tokens=False)]
+    assert 0 < len(e.words) + len(e.tails) <= 256
+
+
+def test_words_that_begin_a_line_are_merged_as_others():
+    """op1, op8: of words after a line feed or a bracket the library gets nothing, and nothing of a text that came before."""
+    given = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return T.encode_batch_fast(texts, **more)
+
+    e, rnd = _bpe.Encoder(BYTE_BPE), random.Random(8)
+    e.tokenizer = Counting()
+    words = ["".join(rnd.choices("abcdeinorst", k=9)) for _ in range(2000)]
+    text = "".join(w + rnd.choice([".\n", ", ", " (", ")\n", " "]) for w in words)
+    want = T.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == want
+    assert sum(map(len, given)) < 100
+    given.clear()
+    assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == want and not "".join(given)
+
+
 def test_store_round_trip(spark, awkward):
     store = token_store.write_tokens(awkward, BYTE_BPE, shard_documents=4)
     rows = store.read().collect()

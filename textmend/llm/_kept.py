@@ -28,14 +28,18 @@ def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 class Kept:
     def __init__(self, slots: int, dtype: np.dtype):
-        bits = max(10, (slots - 1).bit_length())
+        # a power of two, at most ``slots``
+        bits = max(4, slots.bit_length() - 1)
         self.shift = np.uint64(64 - bits)
         #: Three numbers of the key; the place of its ids and, in the low byte, how many there are.
         self.rows = np.zeros((1 << bits, 4), np.uint64)
         self.pool, self.used = np.zeros(8 << bits, dtype), 0
 
-    def nbytes(self) -> int:
-        return self.rows.nbytes + self.pool.nbytes
+    def items(self) -> dict[bytes, bytes]:
+        """What is kept: segments and their ids."""
+        full = self.rows[self.rows[:, 2] >= _LENGTH[1]]
+        keys, places, counts = full[:, :3].tobytes(), (full[:, 3] >> np.uint64(8)).tolist(), (full[:, 3] & np.uint64(255)).tolist()
+        return {keys[24 * i : 24 * i + keys[24 * i + WIDTH]]: self.pool[p : p + n].tobytes() for i, (p, n) in enumerate(zip(places, counts, strict=True))}
 
     def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, solve: Callable) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all segments [start, end), how many each has); ``solve`` gives the same for some segments by number.
@@ -71,20 +75,18 @@ class Kept:
         pool, used = self.pool, self.used
         if len(own) or len(first):
             flat, counts = solve(np.concatenate([own, first]))
-            at = used + np.cumsum(counts) - counts
-            if fits := used + len(flat) <= len(pool):
-                pool[used : used + len(flat)] = flat
-                self.used += len(flat)
-            else:
+            at = np.cumsum(counts) - counts
+            if used + len(flat) > len(pool):
+                # full: the table begins anew, and what it held is copied for this call
                 pool = np.concatenate([pool[:used], flat.astype(pool.dtype)])
-            group = np.cumsum(new) - 1
-            place[miss], count[miss] = at[group], counts[group]
-            place[far], count[far] = at[len(own) :][which], counts[len(own) :][which]
-            if fits:
-                m = len(own)
-                self.rows[slot[own]] = np.stack([k0[own], k1[own], k2[own], (at[:m].astype(np.uint64) << np.uint64(8)) | counts[:m].astype(np.uint64)], axis=1)
-            else:
-                # full: the table begins anew
                 self.rows[:] = 0
                 self.used = 0
+            group = np.cumsum(new) - 1
+            place[miss], count[miss] = used + at[group], counts[group]
+            place[far], count[far] = used + at[len(own) :][which], counts[len(own) :][which]
+            if self.used + len(flat) <= len(self.pool):
+                self.pool[self.used : self.used + len(flat)] = flat
+                m = len(own)
+                self.rows[slot[own]] = np.stack([k0[own], k1[own], k2[own], ((self.used + at[:m]).astype(np.uint64) << np.uint64(8)) | counts[:m].astype(np.uint64)], axis=1)
+                self.used += len(flat)
         return pool[spread(place, count)], count
