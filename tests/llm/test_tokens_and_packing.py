@@ -180,6 +180,17 @@ def test_packing(spark, awkward):
         check_packing(packing.pack_documents(awkward, BYTE_BPE, length=64, group=group).collect(), docs, 64)
 
 
+def test_packing_with_few_kept_segments(spark):
+    """op8: pieces hold the library's ids, whatever was kept, and the process keeps no more than it is told to."""
+    rnd = random.Random(11)
+    docs = {i: ["".join(rnd.choices(ODD, k=rnd.randrange(300)))] for i in range(60)}
+    df = spark.createDataFrame([(i, t[0]) for i, t in docs.items()], "doc_id long, text string").repartition(3)
+    check_packing(packing.pack_documents(df, BYTE_BPE, length=64, kept_words=128).collect(), docs, 64)
+    e = _bpe.encoder(BYTE_BPE, 128)
+    e.encode([t[0] for t in docs.values()])
+    assert len(e.kept.items()) <= 128 and e.kept.rows.nbytes + e.kept.pool.nbytes < 10_000
+
+
 def test_packing_of_nothing(spark, nothing):
     assert packing.pack_documents(nothing, BYTE_BPE).count() == 0
 

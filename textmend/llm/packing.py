@@ -114,7 +114,7 @@ def padding(fill: int, length: int = LENGTH) -> int:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 0, group: int = GROUP, seed: int = 7, with_ids: bool = True, kept_words: int = _bpe.KEPT_WORDS) -> DataFrame:
-    """A row per piece (a process keeps the ids of ``kept_words`` words): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, its ids."""
+    """A row per piece (a process keeps the ids of at most ``kept_words`` segments of texts): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, its ids."""
     parts = partitions(docs.sparkSession)
     docs = documents(docs).select("doc_id", "text", F.xxhash64("doc_id", F.crc32("text"), F.spark_partition_id(), F.lit(seed)).alias("h"))
     cut = "h long, doc_id long, start long, length long, doc_tokens long, crc long, ids binary"
