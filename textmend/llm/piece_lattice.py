@@ -15,7 +15,7 @@ numbers of the two parts that they join.  A process keeps the ids of some words
 For kind unigram the path is the one with the largest sum of scores (Viterbi).  Substrings up to
 the longest piece are exploded and equi-joined to the piece table, grouped by word and
 folded with higher-order functions (``lattice``, which takes BPE models, too; the query took
-3719 CPU seconds a GB through it, and 198 over arrays).  Documents are then kept as files of word numbers with the file's distinct words; a
+3719 CPU seconds a GB through it, and 229 over arrays).  Documents are then kept as files of word numbers with the file's distinct words; a
 word is solved once for each file that holds it, so no word, however common, is a hot key.
 
 Code points without a piece become byte pieces.
