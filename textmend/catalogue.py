@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import tables as T
 from .functions import text as X
+from .kernels import pages
 from .kernels.direction import Turning
 from .operators import derive as D
 from .operators import evaluate, layout, metrics, vocabulary
@@ -407,6 +408,10 @@ def _glyphs(spark, d):
     return layout.glyphs(_docs(spark, d).select("doc_id", "text"))
 
 
+def _pages(spark, d):
+    return layout.paged(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+
+
 @_query(f"WITH {_GLYPHS} SELECT doc_id, line, min(x) AS x0, max(x) AS x1, median(y) AS y, count(*) AS n FROM g GROUP BY doc_id, line")
 def line_extents(spark, d):
     return layout.extents(_glyphs(spark, d))
@@ -417,7 +422,7 @@ _GAPS = f"{_GLYPHS}, a AS (SELECT *, x - lag(x) OVER (PARTITION BY doc_id, line
 
 @_query(f"WITH {_GAPS} SELECT doc_id, line, cell, min(x) AS x0, max(x) AS x1, count(*) AS n, string_agg(ch, '' ORDER BY x) AS text FROM b GROUP BY doc_id, line, cell")
 def line_cells(spark, d):
-    return layout.cells(_glyphs(spark, d))
+    return layout.over_pages(_pages(spark, d), pages.cells, "line int, cell long, x0 double, x1 double, n long, text string")
 
 
 @_query(f"WITH {_GLYPHS}, e AS (SELECT doc_id, line, median(y) AS y FROM g GROUP BY ALL), h AS (SELECT *, max(y) OVER (PARTITION BY doc_id) AS hh FROM e) SELECT doc_id, line, CASE WHEN hh = 0 THEN 'body' WHEN y <= .08::DOUBLE * hh THEN 'header' WHEN y >= (1 - .08::DOUBLE) * hh THEN 'footer' ELSE 'body' END AS role FROM h")

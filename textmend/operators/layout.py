@@ -13,8 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import text as X
+from ..kernels import pages as kernel_pages
 
 LINE = ["doc_id", "line"]
 PAGE = ["doc_id"]
@@ -50,6 +53,23 @@ def glyphs(df: DataFrame, text: str = "text") -> DataFrame:
     return chars.select("doc_id", "line", (9.0 * F.col("i")).alias("x"), (22.0 * F.col("line")).alias("y"), F.lit(11.0).alias("size"), "ch")
 
 
+def paged(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, texts: a row per page, for what runs over whole pages (``over_pages``); texts of one key are one page.
+
+    Texts are what is moved, once, and not their glyphs.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    own = df.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_t"))
+    return own.repartition(n, key).groupBy(key).agg(F.collect_list("_t").alias("texts"))
+
+
+def over_pages(pages: DataFrame, run, columns: str) -> DataFrame:
+    """``paged`` pages through a kernel of ``kernels.pages``: key and ``columns``."""
+    schema = StructType([pages.schema[0], *_parse_datatype_string(columns)])
+    return pages.mapInArrow(kernel_pages.over(run, to_arrow_schema(schema)), schema)
+
+
 def gaps(g: DataFrame, wide: float = 2.2) -> DataFrame:
     """``g`` with gap (to the glyph before) and cell (a new one after a gap of ``wide`` sizes)."""
     w = W.partitionBy(*LINE).orderBy("x")
