@@ -30,13 +30,13 @@ def headed(lines: DataFrame) -> DataFrame:
     before = doc.rowsBetween(W.unboundedPreceding, -1)
     own = lines.withColumn("heading", F.coalesce(heading, F.lit(False)))
     section = F.sum(F.col("heading").cast("int")).over(doc.rowsBetween(W.unboundedPreceding, 0))
-    # the last three only: nothing longer is carried along
+    # the last three only, each from the rows before it: nothing longer is carried along, and nothing is joined
     last = own.withColumn("section", section)
-    heads = last.where("heading").select("doc_id", "section", F.trim("text").alias("h"))
-    v = W.partitionBy("doc_id").orderBy("section")
-    known = heads.select("doc_id", "section", F.array_compact(F.array(F.lag("h", 2).over(v), F.lag("h", 1).over(v), F.col("h"))).alias("upto"))
-    own = last.withColumn("above", F.col("section") - F.col("heading").cast("int")).join(known.withColumnRenamed("section", "above"), ["doc_id", "above"], "left")
-    return own.withColumn("parents", F.coalesce("upto", F.array().cast("array<string>"))).drop("upto", "above")
+    above = lambda c: F.last(F.when(F.col("heading"), F.col(c)), ignorenulls=True).over(before)
+    last = last.withColumn("_h", F.when(F.col("heading"), F.trim("text")))
+    last = last.withColumn("_h1", above("_h")).withColumn("_h2", above("_h1"))
+    last = last.withColumn("_upto", F.array_compact(F.array("_h2", "_h1", "_h")))
+    return last.withColumn("parents", F.coalesce(above("_upto"), F.array().cast("array<string>"))).drop("_h", "_h1", "_h2", "_upto")
 
 
 def paragraphs(lines: DataFrame, most: int = 1200) -> DataFrame:
@@ -52,8 +52,10 @@ def paragraphs(lines: DataFrame, most: int = 1200) -> DataFrame:
     gap = F.col("bbox.y0") - F.lag("bbox.y1").over(w)
     wide = F.coalesce(gap > F.greatest(1.8 * F.median("size").over(W.partitionBy(*keys)), F.lit(18.0)), F.lit(False))
     blank = F.trim("text") == ""
+    # lines are carried through the fold: joining them to it would move all of them twice more
+    rest = F.struct(*(c for c in own.columns if c not in (*keys, "ord")))
     rows = own.withColumns({"_blank": blank, "_new": wide})
-    per = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", F.length("text").alias("n"), F.col("_blank").alias("blank"), F.col("_new").alias("wide")))).alias("ls"))
+    per = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", F.length("text").alias("n"), F.col("_blank").alias("blank"), F.col("_new").alias("wide"), rest.alias("rest")))).alias("ls"))
     state = F.struct(F.lit(0).alias("para"), F.lit(-1).alias("size"), F.array().cast("array<struct<ord:int,para:int>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -64,8 +66,9 @@ def paragraphs(lines: DataFrame, most: int = 1200) -> DataFrame:
         size = F.when(x["blank"], -1).when(cut, x["n"]).otherwise(grown)
         return F.struct(para.alias("para"), size.alias("size"), F.concat(s["out"], F.array(F.struct(x["ord"].cast("int").alias("ord"), F.when(~x["blank"], para).alias("para")))).alias("out"))
 
-    placed = per.select(*keys, F.inline(F.aggregate("ls", state, step, lambda s: s["out"]))).where("para is not null")
-    return own.join(placed, [*keys, "ord"])
+    folded = per.withColumn("out", F.aggregate("ls", state, step, lambda s: s["out"]))
+    each = folded.select(*keys, F.inline(F.zip_with("ls", "out", lambda x, p: F.struct(x["ord"].alias("ord"), p["para"].alias("para"), x["rest"].alias("rest")))))
+    return each.where("para is not null").select(*keys, "ord", "rest.*", "para")
 
 
 def chunks(lines: DataFrame, cells: DataFrame | None = None, most: int = 1200) -> DataFrame:
