@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import arrow
 from ..functions import tables as T
 
 
@@ -56,11 +57,7 @@ def bucket_counts(c: Column) -> Column:
 
     A line break ends a run and is none itself.
     """
-    f = families()
-    found = [(b, f"[{k}]") for b, k in buckets()]
-    found.append(("N", f"[^{''.join(f.values())}{LEFT}{MARK}\\r\\n]"))
-    every = [F.struct(F.lit(b).alias("bucket"), F.regexp_count(c, F.lit(f"{k}+")).cast("long").alias("n")) for b, k in found]
-    return F.filter(F.array(*every), lambda x: x["n"] > 0)
+    return F.coalesce(arrow.direction_runs(c), F.array().cast("array<struct<bucket:string,n:bigint>>"))
 
 
 def run_histogram(df: DataFrame, key: str = "doc_id", text: str = "t") -> DataFrame:
@@ -89,11 +86,8 @@ LETTERS = "ء-يٮ-ۓۺ-ۿ"
 
 def base_marks(df: DataFrame, key: str = "doc_id", text: str = "t") -> DataFrame:
     """key, base, mark, n: marks by the letter that they stand on, homoglyphs folded; without a letter under "_"."""
-    found = F.regexp_extract_all(text, F.lit(f"([{LETTERS}]?[{T.MARKS}]+)"), F.lit(1))
-    cut = df.select(key, F.explode(found).alias("c"))
-    base = F.when(F.col("c").rlike(f"^[{LETTERS}]"), F.translate(F.substring("c", 1, 1), "".join(T.HOMOGLYPHS), "".join(T.HOMOGLYPHS.values()))).otherwise("_")
-    marks = F.explode(F.split(F.regexp_replace("c", f"^[{LETTERS}]", ""), "")).alias("mark")
-    return cut.select(key, base.alias("base"), marks).where("mark != ''").groupBy(key, "base", "mark").agg(F.count("*").alias("n"))
+    own = df.select(key, F.inline(arrow.base_marks(LETTERS, T.MARKS, T.HOMOGLYPHS)(F.col(text))))
+    return own.groupBy(key, "base", "mark").agg(F.sum("n").alias("n"))
 
 
 def top_bases(matrix: DataFrame, key: str = "doc_id", k: int = 12) -> DataFrame:
